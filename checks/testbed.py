@@ -95,3 +95,122 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN event_id % 3 <> 0 THEN cast(1 + event_id % 5 as double) END").alias("satisfaction_score"),
         F.expr("CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 4 = 0 END").alias("escalation_flag"),
     )
+
+
+def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "accounts": accounts(spark, sf_dir),
+        "subscriptions": subscriptions(spark, sf_dir),
+        "feature_usage": usage(spark, sf_dir),
+        "support_tickets": tickets(spark, sf_dir),
+    }
+
+
+# --- A scored population with closed-form scores, so that metrics have an exact twin ---
+
+HOLDOUT_START = "1999-05-31"
+PROBABILITY = "((subscription_id * 7919 + month(cutoff_date) * 613) % 10000) / 10000.0D"
+FORECAST = "mrr_amount * ((60 + subscription_id % 81) / 100.0D) - 300.0D"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foresight.operators.spine import active_subscriptions, with_targets
+
+    targets = with_targets(active_subscriptions(subscriptions(spark, sf_dir), CUTOFFS))
+    return targets.select(
+        "subscription_id",
+        "account_id",
+        F.col("cutoff_date").cast("date").alias("cutoff_date"),
+        "mrr_amount",
+        "churn_next_30d",
+        "future_mrr_30d",
+        F.expr(PROBABILITY).alias("churn_probability"),
+        F.expr(FORECAST).alias("raw_forecast"),
+        F.expr(f"greatest(0.0D, {FORECAST})").alias("predicted_sales"),
+    )
+
+
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).filter(F.col("cutoff_date") >= F.lit(HOLDOUT_START).cast("date"))
+
+
+# --- Serving tables: one run per holdout month ---
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basis = "(subscription_id * 7919 + month(cutoff_date) * 613) % 10000"
+    cents = "floor(mrr_amount * (80 + subscription_id % 41))"
+    after = f"CASE WHEN subscription_id % 3 = 0 THEN {basis} ELSE (({basis}) * 7) div 10 END"
+    forecast = F.expr(f"cast({cents} / 100.0D as decimal(8,2))")
+    half = F.expr("cast(150.25 as decimal(8,2))")
+    action = F.expr(
+        "CASE subscription_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'annual plan' ELSE 'auto renew' END"
+    )
+    money = "decimal(8,2)"
+    return holdout(spark, sf_dir).select(
+        F.concat(F.lit("run-"), F.date_format("cutoff_date", "yyyy-MM")).alias("run_id"),
+        F.col("account_id").cast("string").alias("customer_id"),
+        "subscription_id",
+        "cutoff_date",
+        F.col("churn_next_30d").alias("actual_churn"),
+        F.expr(f"cast(({basis}) / 10000.0D as decimal(5,4))").alias("churn_probability"),
+        F.col("future_mrr_30d").cast(money).alias("actual_sales"),
+        forecast.alias("predicted_sales"),
+        F.greatest(F.lit(0), forecast - half).cast(money).alias("sales_lower_bound"),
+        (forecast + half).cast(money).alias("sales_upper_bound"),
+        action.alias("prescriptive_action"),
+        F.expr(f"cast(({after}) / 10000.0D as decimal(5,4))").alias("prescribed_risk_drop"),
+        F.col("cutoff_date").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that depend on the month and the run's rows; July has no queue threshold."""
+    per_run = (
+        holdout(spark, sf_dir)
+        .groupBy("cutoff_date")
+        .agg(F.count("*").alias("n"), F.sum("churn_next_30d").alias("churners"))
+        .withColumn("m", F.month("cutoff_date"))
+    )
+    e = F.expr
+    return per_run.select(
+        F.concat(F.lit("run-"), F.date_format("cutoff_date", "yyyy-MM")).alias("run_id"),
+        F.concat(F.lit("v"), F.col("m")).alias("model_version"),
+        e("cast(0.70D + (n % 97) / 1000.0D as decimal(5,4))").alias("churn_auc"),
+        e("cast(0.05D + (churners % 50) / 1000.0D as decimal(5,4))").alias("sales_mape"),
+        e("cast(10 + (n % 1000) / 10.0D as decimal(8,2))").alias("sales_rmse"),
+        e("CASE WHEN m <> 6 THEN cast(5 + (n % 1000) / 20.0D as decimal(8,2)) END").alias("sales_mae"),
+        e("cast(0.04D + m / 1000.0D as decimal(5,4))").alias("sales_wmape"),
+        e("cast((m - 4) * 6 / 100.0D as decimal(5,4))").alias("psi_score"),
+        e("(m - 4) * 6 > 20").alias("drift_flag"),
+        e("cast(n as int)").alias("test_sample_count"),
+        e("CASE WHEN m <> 7 THEN cast((80 + m) / 100.0D as decimal(7,6)) END").alias("risk_threshold"),
+        e("cast(n div 10 as int)").alias("risk_queue_count"),
+        e("cast(0.5D as decimal(5,4))").alias("risk_queue_recall"),
+        e("cast(0.25D as decimal(5,4))").alias("risk_queue_precision"),
+        e("cast(m / 4.0D as decimal(6,2))").alias("risk_queue_lift"),
+        F.concat(F.lit("month "), F.col("m")).alias("notes"),
+        (F.col("cutoff_date").cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR")).alias("created_at"),
+    )
+
+
+def dirty_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving rows as doubles with broken values planted by subscription id."""
+
+    def swap(name: str, condition: str, value: str, dtype: str = "double"):
+        return F.expr(f"CASE WHEN {condition} THEN {value} ELSE cast({name} as {dtype}) END").alias(name)
+
+    return predictions(spark, sf_dir).select(
+        swap("run_id", "subscription_id % 59 = 0", "'run-missing'", "string"),
+        "customer_id",
+        "subscription_id",
+        "cutoff_date",
+        swap("actual_churn", "subscription_id % 71 = 0", "2", "int"),
+        swap("churn_probability", "subscription_id % 50 = 0", "1.5D"),
+        "actual_sales",
+        swap("predicted_sales", "subscription_id % 67 = 0", "12345678.9D"),
+        swap("sales_lower_bound", "subscription_id % 53 = 0", "sales_upper_bound + 1"),
+        F.col("sales_upper_bound").cast("double").alias("sales_upper_bound"),
+        swap("prescriptive_action", "subscription_id % 61 = 0", "NULL", "string"),
+        swap("prescribed_risk_drop", "subscription_id % 73 = 0", "cast('NaN' as double)"),
+    )

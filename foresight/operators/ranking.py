@@ -67,35 +67,47 @@ def exact_quantiles(
     bracket. No task ever holds a whole column, unlike a value-to-count ``percentile`` buffer.
     """
     probs = [float(p) for p in probabilities]
+    indices = range(len(probs))
     values = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
     margin = 2.0 / accuracy
-    below = [max(0.0, p - margin) for p in probs]
-    above = [min(1.0, p + margin) for p in probs]
-
-    def bracket(targets: list[float], extreme: Column) -> Column:
-        sketch = F.percentile_approx("v", targets, accuracy)
-        return F.when(F.count("v") < accuracy, F.array_repeat(extreme, len(probs))).otherwise(sketch)
-
+    targets = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketches = values.groupBy(group).agg(
         F.count("v").alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
-        bracket(below, F.min("v")).alias("lo"),
-        bracket(above, F.max("v")).alias("hi"),
+        F.percentile_approx("v", targets, accuracy).alias("sketch"),
     )  # one row per group, hence the broadcasts below
 
-    def edge(side: str, i: int) -> Column:
-        return F.element_at(side, i + 1)
-
-    indices = range(len(probs))
-    zone = reduce(
-        lambda a, b: a + b,
-        [(F.col("v") >= edge("lo", i)).cast("int") + (F.col("v") > edge("hi", i)).cast("int") for i in indices],
+    def bracket(extreme: str, i: int) -> Column:
+        """A group too small for the margin to reach the next row is bracketed as a whole."""
+        return F.when(F.col("n") < accuracy, F.col(extreme)).otherwise(F.get("sketch", F.lit(i)))
+
+    brackets = sketches.select(
+        group,
+        "n",
+        "low",
+        "high",
+        *[bracket("low", i).alias(f"lo{i}") for i in indices],
+        *[bracket("high", len(probs) + i).alias(f"hi{i}") for i in indices],
     )
-    inside = reduce(lambda a, b: a | b, [F.col("v").between(edge("lo", i), edge("hi", i)) for i in indices])
+    v = F.col("v")
+
+    def number_true(tests: list[Column]) -> Column:
+        return F.coalesce(reduce(lambda a, b: a + b, [t.cast("int") for t in tests]), F.lit(0))
+
+    reached = number_true([v >= F.col(f"lo{i}") for i in indices])
+    passed = number_true([v > F.col(f"hi{i}") for i in indices])
     counts = (
-        values.join(F.broadcast(sketches.select(group, "lo", "hi")), group)
-        .groupBy(group, zone.alias("zone"), F.when(inside, F.col("v")).alias("v"))
+        values.join(F.broadcast(brackets), group)
+        .select(group, "n", "low", "high", "v", reached.alias("reached"), passed.alias("passed"))
+        .groupBy(
+            group,
+            "n",
+            "low",
+            "high",
+            (F.col("reached") + F.col("passed")).alias("zone"),
+            F.when(F.col("reached") > F.col("passed"), v).alias("v"),  # inside some bracket
+        )
         .agg(F.count("*").alias("c"))
     )
     zones_before = Window.partitionBy(group).orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +117,17 @@ def exact_quantiles(
         .select(group, "zone", F.coalesce(F.sum("zone_rows").over(zones_before), F.lit(0)).alias("offset"))
     )  # at most 2 * len(probs) + 1 zones per group
     in_zone = Window.partitionBy(group, "zone").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # The rows between brackets (one per zone, v null) stay in: filtering them here would give the
+    # two readers of ``counts`` different shuffles, and the data would be scanned twice.
     ranked = (
-        counts.filter(F.col("v").isNotNull())
-        .withColumn("inner", F.coalesce(F.sum("c").over(in_zone), F.lit(0)))
+        counts.withColumn("inner", F.coalesce(F.sum("c").over(in_zone), F.lit(0)))
         .join(F.broadcast(zones), [group, "zone"])
         .withColumn("first", F.col("offset") + F.col("inner"))
-        .join(F.broadcast(sketches.select(group, "n", "low", "high")), group)
     )
 
     def at_rank(rank: Column) -> Column:
         hit = (rank >= F.col("first")) & (rank < F.col("first") + F.col("c"))
-        return F.max(F.when(hit, F.col("v")))
+        return F.max(F.when(hit, v))
 
     picks, quantiles = [], []
     for i, p in enumerate(probs):
