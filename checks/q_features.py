@@ -257,9 +257,10 @@ def c5(spark, sf):
     return _usage_features(spark, sf).select("subscription_id", "cutoff_date", "beta_feature_ratio_30d")
 
 
-@query("c6_recent_and_prior", USAGE + "SELECT subscription_id, cutoff_date, recent, prior FROM usage_sums")
+@query("c6_recent_and_prior", USAGE + "SELECT subscription_id, cutoff_date, coalesce(recent, 0) AS recent, coalesce(prior, 0) AS prior FROM usage_sums")
 def c6(spark, sf):
-    return _usage_sums(spark, sf).select("subscription_id", "cutoff_date", "recent", "prior")
+    sums = _usage_sums(spark, sf).select("subscription_id", "cutoff_date", "recent", "prior")
+    return sums.na.fill(0)
 
 
 @query(
@@ -329,10 +330,10 @@ def d5(spark, sf):
 @query(
     "d6_known_first_response",
     TICKETS + "SELECT ticket_id, cutoff_date, CASE WHEN submitted_at + to_minutes(first_response_time_minutes)"
-    " <= cutoff_date THEN first_response_time_minutes END AS known FROM ticket_window",
+    " <= cutoff_date THEN first_response_time_minutes::DOUBLE END AS known FROM ticket_window",
 )
 def d6(spark, sf):
-    known = support.response_known_at_cutoff().alias("known")
+    known = support.response_known_at_cutoff().cast("double").alias("known")
     return _guarded(spark, sf).select("ticket_id", "cutoff_date", known)
 
 

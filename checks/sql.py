@@ -119,7 +119,7 @@ ACCOUNT_AGE = "greatest(0, floor(epoch(s.cutoff_date - signup_date) / 86400))::I
 
 SNAPSHOT = f"""
 snapshots AS (
-  SELECT s.subscription_id, s.account_id, s.cutoff_date::DATE AS cutoff_date,
+  SELECT s.subscription_id, s.account_id, s.cutoff_date::DATE::VARCHAR AS cutoff_date,
     CASE WHEN signup_date IS NOT NULL THEN {ACCOUNT_AGE} END AS account_age_days,
     datediff('day', start_date, s.cutoff_date)::INT AS active_tenure_days,
     seats, mrr_amount, arr_amount, u.* EXCLUDE (subscription_id, cutoff_date),
@@ -137,3 +137,73 @@ def with_(*ctes: str) -> str:
 
 
 SNAPSHOTS = (RAW, ACTIVE, usage_cte(), SUPPORT, SNAPSHOT)
+
+# --- The scored population and the serving tables of checks.testbed ---
+
+SCORED = """
+scored AS (
+  SELECT s.subscription_id, s.account_id, s.cutoff_date::DATE AS cutoff_date, s.mrr_amount, churn_next_30d,
+    future_mrr_30d, ((s.subscription_id * 7919 + month(s.cutoff_date) * 613) % 10000)::DOUBLE / 10000.0::DOUBLE
+      AS churn_probability,
+    s.mrr_amount * ((60 + s.subscription_id % 81)::DOUBLE / 100.0::DOUBLE) - 300.0::DOUBLE AS raw_forecast,
+    greatest(0.0::DOUBLE, s.mrr_amount * ((60 + s.subscription_id % 81)::DOUBLE / 100.0::DOUBLE) - 300.0::DOUBLE)
+      AS predicted_sales
+  FROM active s JOIN targets t ON t.subscription_id = s.subscription_id AND t.cutoff_date = s.cutoff_date),
+holdout AS (SELECT * FROM scored WHERE cutoff_date >= DATE '1999-05-31')"""
+
+SERVING = """
+predictions AS (
+  SELECT *, greatest(0, predicted_sales - 150.25)::DECIMAL(8,2) AS sales_lower_bound,
+    (predicted_sales + 150.25)::DECIMAL(8,2) AS sales_upper_bound
+  FROM (SELECT 'run-' || strftime(cutoff_date, '%Y-%m') AS run_id, account_id::VARCHAR AS customer_id,
+    subscription_id, cutoff_date, churn_next_30d AS actual_churn,
+    (basis::DOUBLE / 10000.0::DOUBLE)::DECIMAL(5,4) AS churn_probability,
+    (floor(future_mrr_30d * 100) / 100.0::DOUBLE)::DECIMAL(8,2) AS actual_sales,
+    (floor(mrr_amount * (80 + subscription_id % 41)) / 100.0::DOUBLE)::DECIMAL(8,2) AS predicted_sales,
+    CASE subscription_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'annual plan' ELSE 'auto renew' END AS prescriptive_action,
+    ((CASE subscription_id % 3 WHEN 0 THEN basis WHEN 1 THEN (basis * 7) // 10 ELSE (basis * 4) // 10 END)::DOUBLE / 10000.0::DOUBLE)
+      ::DECIMAL(5,4) AS prescribed_risk_drop, cutoff_date::TIMESTAMP AS created_at
+  FROM (SELECT *, (subscription_id * 7919 + month(cutoff_date) * 613) % 10000 AS basis FROM holdout))),
+telemetry AS (
+  SELECT 'run-' || strftime(cutoff_date, '%Y-%m') AS run_id, 'v' || m AS model_version,
+    (0.70::DOUBLE + (n % 97) / 1000.0::DOUBLE)::DECIMAL(5,4) AS churn_auc,
+    (0.05::DOUBLE + (churners % 50) / 1000.0::DOUBLE)::DECIMAL(5,4) AS sales_mape,
+    (10 + (n % 1000) / 10.0::DOUBLE)::DECIMAL(8,2) AS sales_rmse,
+    CASE WHEN m <> 6 THEN (5 + (n % 1000) / 20.0::DOUBLE)::DECIMAL(8,2) END AS sales_mae,
+    (0.04::DOUBLE + m / 1000.0::DOUBLE)::DECIMAL(5,4) AS sales_wmape,
+    ((m - 4) * 6 / 100.0::DOUBLE)::DECIMAL(5,4) AS psi_score, (m - 4) * 6 > 20 AS drift_flag,
+    n::INT AS test_sample_count,
+    CASE WHEN m <> 7 THEN ((80 + m) / 100.0::DOUBLE)::DECIMAL(7,6) END AS risk_threshold,
+    (n // 10)::INT AS risk_queue_count, 0.5::DECIMAL(5,4) AS risk_queue_recall,
+    0.25::DECIMAL(5,4) AS risk_queue_precision, (m / 4.0::DOUBLE)::DECIMAL(6,2) AS risk_queue_lift,
+    'month ' || m AS notes, cutoff_date::TIMESTAMP + INTERVAL 1 HOUR AS created_at
+  FROM (SELECT cutoff_date, month(cutoff_date) AS m, count(*) AS n, sum(churn_next_30d)::BIGINT AS churners
+    FROM holdout GROUP BY 1))"""
+
+DIRTY = """
+dirty AS (
+  SELECT CASE WHEN subscription_id % 59 = 0 THEN 'run-missing' ELSE run_id END AS run_id, customer_id,
+    subscription_id, cutoff_date, CASE WHEN subscription_id % 71 = 0 THEN 2 ELSE actual_churn END AS actual_churn,
+    CASE WHEN subscription_id % 50 = 0 THEN 1.5::DOUBLE ELSE churn_probability::DOUBLE END AS churn_probability,
+    actual_sales,
+    CASE WHEN subscription_id % 67 = 0 THEN 12345678.9::DOUBLE ELSE predicted_sales::DOUBLE END AS predicted_sales,
+    CASE WHEN subscription_id % 53 = 0 THEN sales_upper_bound::DOUBLE + 1 ELSE sales_lower_bound::DOUBLE END
+      AS sales_lower_bound, sales_upper_bound::DOUBLE AS sales_upper_bound,
+    CASE WHEN subscription_id % 61 = 0 THEN NULL ELSE prescriptive_action END AS prescriptive_action,
+    CASE WHEN subscription_id % 73 = 0 THEN NULL ELSE prescribed_risk_drop::DOUBLE END AS prescribed_risk_drop
+  FROM predictions)"""
+
+LATEST = """
+latest_run AS (SELECT * FROM telemetry ORDER BY created_at DESC, run_id DESC LIMIT 1),
+latest AS (
+  SELECT p.*, l.model_version, l.churn_auc, l.sales_mape, l.sales_rmse, l.sales_mae, l.sales_wmape, l.psi_score,
+    l.drift_flag, l.risk_threshold, l.risk_queue_lift, l.created_at AS run_timestamp,
+    CASE WHEN l.risk_threshold IS NOT NULL AND p.churn_probability >= l.risk_threshold
+        THEN 'Top-10% Operational Risk Queue'
+      WHEN p.churn_probability >= 0.75 THEN 'Tier 1 - Critical Risk (>75%)'
+      WHEN p.churn_probability >= 0.50 THEN 'Tier 2 - Elevated Risk (50-75%)'
+      WHEN p.churn_probability >= 0.25 THEN 'Tier 3 - Moderate Risk (25-50%)'
+      ELSE 'Tier 4 - Stable (<25%)' END AS risk_tier,
+    p.churn_probability >= coalesce(l.risk_threshold, 0.50) AND p.prescribed_risk_drop < p.churn_probability
+      AS is_recoverable_revenue
+  FROM predictions p JOIN latest_run l USING (run_id))"""

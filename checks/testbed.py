@@ -140,7 +140,10 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = "(subscription_id * 7919 + month(cutoff_date) * 613) % 10000"
     cents = "floor(mrr_amount * (80 + subscription_id % 41))"
-    after = f"CASE WHEN subscription_id % 3 = 0 THEN {basis} ELSE (({basis}) * 7) div 10 END"
+    after = (
+        f"CASE subscription_id % 3 WHEN 0 THEN {basis} WHEN 1 THEN (({basis}) * 7) div 10"
+        f" ELSE (({basis}) * 4) div 10 END"
+    )
     forecast = F.expr(f"cast({cents} / 100.0D as decimal(8,2))")
     half = F.expr("cast(150.25 as decimal(8,2))")
     action = F.expr(
@@ -154,7 +157,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cutoff_date",
         F.col("churn_next_30d").alias("actual_churn"),
         F.expr(f"cast(({basis}) / 10000.0D as decimal(5,4))").alias("churn_probability"),
-        F.col("future_mrr_30d").cast(money).alias("actual_sales"),
+        F.expr(f"cast(floor(future_mrr_30d * 100) / 100.0D as {money})").alias("actual_sales"),
         forecast.alias("predicted_sales"),
         F.greatest(F.lit(0), forecast - half).cast(money).alias("sales_lower_bound"),
         (forecast + half).cast(money).alias("sales_upper_bound"),

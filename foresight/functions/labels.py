@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foresight import contract
+from foresight.functions.numbers import fixed
 
 # --- Fixed values: label texts ---
 RUN_STABLE = "Stable (No Shift)"
@@ -55,7 +56,7 @@ def risk_tier(probability: Column, threshold: Column) -> Column:
 
 
 def percent(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", value.cast("double") * 100)
+    return F.concat(fixed(value.cast("double") * 100, digits), F.lit("%"))
 
 
 def dollars(value: Column) -> Column:

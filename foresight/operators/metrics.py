@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foresight import contract
 from foresight.functions.flags import ratio
+from foresight.functions.numbers import round_half_even
 from foresight.operators.ranking import exact_quantiles
 
 
@@ -129,7 +130,7 @@ def prediction_intervals(
     half = z * sigma
     return df.withColumns(
         {
-            "sales_lower_bound": F.round(F.greatest(F.lit(0.0), F.col(predicted) - half), 2),
-            "sales_upper_bound": F.round(F.col(predicted) + half, 2),
+            "sales_lower_bound": round_half_even(F.greatest(F.lit(0.0), F.col(predicted) - half), 2),
+            "sales_upper_bound": round_half_even(F.col(predicted) + half, 2),
         }
     )

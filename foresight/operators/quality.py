@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foresight import contract
+from foresight.functions.numbers import round_half_even
 
 Rules = list[tuple[str, Column]]
 
@@ -38,10 +39,10 @@ def prepare_telemetry(df: DataFrame) -> DataFrame:
     filled = {
         "run_id": given("run_id", F.uuid()).cast("string"),
         "model_version": F.col("model_version").cast("string"),
-        "churn_auc": F.round(F.col("churn_auc").cast("double"), 4),
-        "sales_mape": F.round(F.col("sales_mape").cast("double"), 4),
-        "sales_rmse": F.round(F.col("sales_rmse").cast("double"), 2),
-        "psi_score": F.round(psi, 4),
+        "churn_auc": round_half_even(F.col("churn_auc"), 4),
+        "sales_mape": round_half_even(F.col("sales_mape"), 4),
+        "sales_rmse": round_half_even(F.col("sales_rmse"), 2),
+        "psi_score": round_half_even(psi, 4),
         "drift_flag": given("drift_flag", psi > contract.PSI_CRITICAL).cast("boolean"),
         "test_sample_count": F.col("test_sample_count").cast("int"),
         "notes": given("notes", F.lit(contract.DEFAULT_NOTES)).cast("string"),
@@ -61,7 +62,7 @@ def prepare_predictions(df: DataFrame, run_id: str | Column) -> DataFrame:
 
     def number(name: str, digits: int) -> Column:
         value = F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
-        return F.round(F.nanvl(value, F.lit(None).cast("double")), digits).alias(name)
+        return round_half_even(F.nanvl(value, F.lit(None).cast("double")), digits).alias(name)
 
     churn = F.col("actual_churn") if "actual_churn" in df.columns else F.lit(None)
     extra = [c for c in ("subscription_id", "cutoff_date", "created_at") if c in df.columns]
