@@ -29,15 +29,14 @@ def hot_keys(
     however large the table is. The sample only decides which keys are salted: a wrong guess costs
     balance, never rows.
     """
-    share = min(0.5, HOT_FACTOR / shuffle_width(df.sparkSession))
-    counts = df.select(key).sample(fraction, seed).groupBy(key).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"))
-    hot = (
-        counts.join(F.broadcast(totals))
-        .filter((F.col("n") >= min_rows) & (F.col("n") >= share * F.col("total")))
-        .filter(F.col(key).isNotNull())
-    )
-    return sorted(row[0] for row in hot.select(key).collect())
+    width = shuffle_width(df.sparkSession)
+    share = min(0.5, HOT_FACTOR / width)
+    sampled = df.select(key).filter(F.col(key).isNotNull()).sample(fraction, seed)
+    counts = sampled.rollup(key).agg(F.count("*").alias("n"))  # the null key is the grand total
+    largest = counts.filter(F.col("n") >= min_rows).orderBy(F.col("n").desc(), key)
+    top = largest.limit(int(1 / share) + 1).collect()
+    total = max((row["n"] for row in top if row[0] is None), default=0)
+    return sorted(row[0] for row in top if row[0] is not None and row["n"] >= share * total)
 
 
 def _salt(key: Column, hot: Sequence, spread: Column, width: int) -> Column:
