@@ -166,6 +166,14 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
 
 
+def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
+    """A repeated key would multiply the rows of every join to ``df``."""
+    repeated = duplicate_keys(df, key).take(1)
+    if repeated:
+        raise ValueError(f"{what} repeats {key} {repeated[0][0]}")
+    return df
+
+
 def unknown_accounts(subscriptions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Subscriptions without an account row; the revenue model cannot score them."""
     return subscriptions.join(accounts.select("account_id"), "account_id", "left_anti")

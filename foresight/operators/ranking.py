@@ -14,18 +14,22 @@ SKETCH_ACCURACY = 10_000
 
 
 def with_row_number(
-    df: DataFrame, order: Sequence[Column | str], name: str = "row_number"
+    df: DataFrame,
+    order: Sequence[Column | str],
+    name: str = "row_number",
+    partitions: int | None = None,
 ) -> DataFrame:
     """1-based position of every row in the total order given by ``order``.
 
     Rows are range-partitioned and sorted per partition; a position is the row's place in its
     partition plus the sizes of the partitions before it. The checkpoint keeps the placement fixed
     between the job that counts partitions and the jobs that read the positions. ``order`` has to
-    be unique per row for the result to be reproducible.
+    be unique per row for the result to be reproducible. ``partitions`` fixes their number.
     """
+    sized = order if partitions is None else [partitions, *order]
     offset_bits = 33
     placed = cut_lineage(
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*sized)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_id", offset_bits))

@@ -118,11 +118,14 @@ def run_snapshot_job(
     cutoffs: Sequence[datetime | str] | None = None,
     raw_format: str = "csv",
 ) -> DataFrame:
-    """Load, build, audit, save; returns the saved table."""
+    """Load, check keys, build, audit, save; returns the saved table."""
+    from foresight.operators.quality import require_unique
     from foresight.sources.raw import load_raw
     from foresight.sources.store import read_snapshots, write_snapshots
 
     raw = load_raw(spark, raw_dir, raw_format)
+    require_unique(raw["accounts"], "account_id", "accounts")
+    require_unique(raw["subscriptions"], "subscription_id", "subscriptions")
     snapshots = build_snapshots(
         raw["accounts"], raw["subscriptions"], raw["feature_usage"], raw["support_tickets"], cutoffs
     )

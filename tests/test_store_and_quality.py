@@ -158,6 +158,8 @@ def test_delete_run_cascades(spark, tmp_path):
 def test_key_reports(spark, raw):
     doubled = raw["accounts"].unionByName(raw["accounts"].filter("account_id = 'A1'"))
     assert [tuple(r) for r in quality.duplicate_keys(doubled, "account_id").collect()] == [("A1", 2)]
+    with pytest.raises(ValueError, match="A1"):
+        quality.require_unique(doubled, "account_id", "accounts")
     lost = quality.unknown_accounts(raw["subscriptions"], raw["accounts"].filter("account_id = 'A1'"))
     assert {r["subscription_id"] for r in lost.collect()} == {"S3", "S4", "S5"}
 
