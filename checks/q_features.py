@@ -30,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
 
 
-def snapshots(spark: SparkSession, sf_dir: str, cutoffs=None) -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, cutoffs=None, hot=None) -> DataFrame:
     raw = testbed.raw(spark, sf_dir)
     return build_snapshots(
         raw["accounts"],
@@ -38,6 +38,7 @@ def snapshots(spark: SparkSession, sf_dir: str, cutoffs=None) -> DataFrame:
         raw["feature_usage"],
         raw["support_tickets"],
         CUTOFFS if cutoffs is None else cutoffs,
+        hot=hot,
     )
 
 
@@ -368,6 +369,13 @@ def e2(spark, sf):
     return snapshots(spark, sf)
 
 
+@query("e2b_snapshots_with_salted_keys", SNAPSHOT_SQL)
+def e2b(spark, sf):
+    """The same table with some keys treated as hot in each of the three salted joins."""
+    some = list(range(0, 200, 3))
+    return snapshots(spark, sf, hot={"usage": some, "tickets": some, "subscriptions": [None, *some]})
+
+
 @query("e3_appended_cohorts", SNAPSHOT_SQL)
 def e3(spark, sf):
     return append_cohorts(snapshots(spark, sf, CUTOFFS[:9]), snapshots(spark, sf, CUTOFFS[9:]))
@@ -446,9 +454,18 @@ def f4(spark, sf):
 
 
 @query(
-    "f3_packed_usage",
-    USAGE + "SELECT subscription_id, count(*)::INT AS cutoffs FROM usage_sums GROUP BY 1",
+    "f3_boolean_passthrough",
+    SNAPS + "SELECT subscription_id, cutoff_date, is_trial, auto_renew_flag FROM snapshots",
 )
 def f3(spark, sf):
+    matrix = _encoded(spark, sf, churn_preprocessor())
+    return matrix.select("subscription_id", "cutoff_date", "is_trial", "auto_renew_flag")
+
+
+@query(
+    "c9_packed_usage",
+    USAGE + "SELECT subscription_id, count(*)::INT AS cutoffs FROM usage_sums GROUP BY 1",
+)
+def c9(spark, sf):
     packed = pack_by_cutoff(_usage_sums(spark, sf), "subscription_id", "by_cutoff")
     return packed.select("subscription_id", F.size("by_cutoff").alias("cutoffs"))

@@ -15,7 +15,7 @@ from checks.testbed import CUTOFFS
 from foresight import contract
 from foresight.functions.labels import feature_drift_label, run_drift_label
 from foresight.functions.numbers import round_half_even
-from foresight.models.churn import ChurnModel
+from foresight.models.churn import ChurnModel, margin
 from foresight.operators import drift, metrics, recourse
 from foresight.operators.outputs import prediction_table, run_notes, with_customer_id
 from foresight.operators.split import split_by_position, temporal_split
@@ -644,6 +644,16 @@ def _run(spark, sf) -> ScoringRun:
     return _run_for(spark.sparkContext.applicationId, sf)
 
 
+@query("g4_tree_margins")
+def g4(spark, sf):
+    """Uncalibrated margins of each fold's trees on the holdout."""
+    churn = _run(spark, sf).churn
+    rows = churn.preprocessor.transform(temporal_split(snapshots(spark, sf))[1])
+    for fold, member in enumerate(churn.members):
+        rows = margin(member.trees, rows, f"margin_{fold}")
+    return rows.select("subscription_id", "cutoff_date", *[f"margin_{i}" for i in range(len(churn.members))])
+
+
 @query("g5_calibrated_members")
 def g5(spark, sf):
     members = [

@@ -49,6 +49,35 @@ def a6(spark, sf):
     )
 
 
+_EXPORT = (
+    "SELECT customer_id, subscription_id, churn_probability::DOUBLE AS churn_probability,"
+    " predicted_sales::DOUBLE AS predicted_sales FROM predictions"
+)
+
+
+@query("a8_exported_predictions", BASE + f"{_EXPORT} UNION ALL {_EXPORT}")
+def a8(spark, sf):
+    """Both CSV exports read back: the same rows twice."""
+    predictions, telemetry = _tables(spark, sf)
+    paths = store.write_outputs(predictions, telemetry, scratch(spark))
+    exports = [
+        spark.read.option("header", True).csv(paths[name]) for name in ("predictions", "holdout")
+    ]
+    return exports[0].unionByName(exports[1]).select(
+        "customer_id",
+        F.col("subscription_id").cast("bigint").alias("subscription_id"),
+        F.col("churn_probability").cast("double").alias("churn_probability"),
+        F.col("predicted_sales").cast("double").alias("predicted_sales"),
+    )
+
+
+@query("a8b_exported_telemetry", BASE + "SELECT run_id, notes, test_sample_count::BIGINT AS test_sample_count FROM telemetry")
+def a8b(spark, sf):
+    predictions, telemetry = _tables(spark, sf)
+    paths = store.write_outputs(predictions, telemetry, scratch(spark))
+    return spark.read.json(paths["telemetry"]).select("run_id", "notes", "test_sample_count")
+
+
 UPSERT = (
     ", incoming AS (SELECT * REPLACE (0.9999 AS churn_auc, 'later' AS notes,"
     " CASE WHEN run_id = 'run-1999-09' THEN 'run-1999-10' ELSE run_id END AS run_id) FROM telemetry"

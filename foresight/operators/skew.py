@@ -26,17 +26,20 @@ def hot_keys(
     """Keys that would fill a shuffle partition ``HOT_FACTOR`` times over, judged from a row sample.
 
     At most ``partitions / HOT_FACTOR`` keys can pass the share test, so the returned list is small
-    however large the table is. The sample only decides which keys are salted: a wrong guess costs
-    balance, never rows.
+    however large the table is; None stands for missing keys. The sample only decides which keys are
+    salted: a wrong guess costs balance, never rows.
     """
-    width = shuffle_width(df.sparkSession)
-    share = min(0.5, HOT_FACTOR / width)
-    sampled = df.select(key).filter(F.col(key).isNotNull()).sample(fraction, seed)
-    counts = sampled.rollup(key).agg(F.count("*").alias("n"))  # the null key is the grand total
+    share = min(0.5, HOT_FACTOR / shuffle_width(df.sparkSession))
+    counts = (
+        df.select(key)
+        .sample(fraction, seed)
+        .rollup(key)
+        .agg(F.count("*").alias("n"), F.grouping(key).alias("is_total"))
+    )
     largest = counts.filter(F.col("n") >= min_rows).orderBy(F.col("n").desc(), key)
     top = largest.limit(int(1 / share) + 1).collect()
-    total = max((row["n"] for row in top if row[0] is None), default=0)
-    return sorted(row[0] for row in top if row[0] is not None and row["n"] >= share * total)
+    total = sum(row["n"] for row in top if row["is_total"])
+    return [row[0] for row in top if not row["is_total"] and row["n"] >= share * total]
 
 
 def _salt(key: Column, hot: Sequence, spread: Column, width: int) -> Column:
@@ -59,9 +62,10 @@ def join_unique(
     rows of ``unique`` are repeated, once per salt, so the other keys pay nothing. ``spread`` names
     the columns whose hash places a hot row, which keeps a retried task's output the same.
     """
-    keys = hot_keys(fact, key) if hot is None else list(hot)
-    if not keys:
+    found = hot_keys(fact, key) if hot is None else list(hot)
+    if not found:
         return fact.join(unique, key, how)
+    keys = [k for k in found if k is not None]
     width = shuffle_width(fact.sparkSession)
     columns = list(spread) or [c for c, t in fact.dtypes if not t.startswith("map")]
     salted = fact.withColumn("_salt", _salt(F.col(key), keys, F.xxhash64(*columns), width))

@@ -61,17 +61,20 @@ def test_hot_keys_found(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
         assert hot_keys(skewed(spark), "k", fraction=0.1) == [7]
+        mostly_missing = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+        assert hot_keys(mostly_missing, "k", fraction=0.1) == [None]
         assert hot_keys(skewed(spark, 300), "k") == []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+@pytest.mark.parametrize("hot", [[7, 99999], [None], [None, 7]])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain(spark, how):
+def test_salted_join_equals_plain(spark, how, hot):
     fact = skewed(spark, 6000)
     unique = spark.range(0, 600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = fact.join(unique, "k", how).select("id", "k", "v")
-    salted = join_unique(fact, unique, "k", how, hot=[7, 99999]).select("id", "k", "v")
+    salted = join_unique(fact, unique, "k", how, hot=hot).select("id", "k", "v")
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
 
 
