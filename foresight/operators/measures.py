@@ -25,8 +25,8 @@ def total_expected_mrr(predictions: DataFrame) -> DataFrame:
 
 
 def _with_highest_threshold(predictions: DataFrame, telemetry: DataFrame) -> DataFrame:
-    highest = telemetry.agg(F.max("risk_threshold").alias("queue_threshold"))  # one row
-    return predictions.crossJoin(F.broadcast(highest))
+    highest = telemetry.agg(F.max("risk_threshold")).scalar()
+    return predictions.withColumn("queue_threshold", highest)
 
 
 def queue_measures(predictions: DataFrame, telemetry: DataFrame) -> DataFrame:
