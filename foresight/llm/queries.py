@@ -1,4 +1,4 @@
 """All queries of this subpackage: importing it fills the registry."""
 
-from foresight.llm import q_bpe  # noqa: F401
+from foresight.llm import q_bpe, q_langid, q_secrets, q_simhash  # noqa: F401
 from foresight.llm.registry import QUERIES, SQL  # noqa: F401
