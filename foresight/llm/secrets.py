@@ -98,7 +98,7 @@ def scan(
 ) -> DataFrame:
     """One row per input row: ``id_col`` and ``spans``, sorted by start and kind.
 
-    A span has kind, start, end (code points, end exclusive), value (hash), n_rows, n_repositories,
+    A span has kind, start, end (code points, end exclusive), value (hash), n_found, n_repositories,
     n_owners and verdict. The verdict is ``example`` for a value with ``example_owners`` owners or
     more, else ``live``. Base kinds stay whatever the verdict; kind ``token`` is kept only where it
     has a single owner. The table needs no owners: a null owner or repository counts as one more.
@@ -134,7 +134,7 @@ def scan(
         .agg(F.sum("n").alias("n"), F.count("*").alias("r"))
         .groupBy("value")
         .agg(
-            F.sum("n").alias("n_rows"),
+            F.sum("n").alias("n_found"),
             F.sum("r").alias("n_repositories"),
             F.count("*").alias("n_owners"),
         )
@@ -145,7 +145,7 @@ def scan(
         .withColumn("verdict", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live"))
     )
     span = F.struct(
-        "start", F.col("kind").alias("order"), "end", "value", "n_rows", "n_repositories", "n_owners", "verdict"
+        "start", F.col("kind").alias("order"), "end", "value", "n_found", "n_repositories", "n_owners", "verdict"
     )
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -153,7 +153,7 @@ def scan(
         F.coalesce("spans", F.expr("array()").cast(by_row.schema["spans"].dataType)),
         lambda s: F.struct(
             F.get(names, s["order"]).alias("kind"),
-            *[s[c].alias(c) for c in ("start", "end", "value", "n_rows", "n_repositories", "n_owners", "verdict")],
+            *[s[c].alias(c) for c in ("start", "end", "value", "n_found", "n_repositories", "n_owners", "verdict")],
         ),
     )
     return (

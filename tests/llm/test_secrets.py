@@ -54,8 +54,8 @@ def test_base_spans_and_verdicts(spark, tmp_path):
     assert by_id[4].spans == f"token:12:{12 + len(LIVE)}" and by_id[4].n_live == 1
     found = {r.doc_id: r.spans for r in scan(docs).collect()}
     (copied,) = found[7]
-    assert (copied.verdict, copied.n_owners, copied.n_rows) == ("example", 3, 3)
-    assert found[8][0].verdict == "live" and found[8][0].n_rows == 2
+    assert (copied.verdict, copied.n_owners, copied.n_found) == ("example", 3, 4)
+    assert found[8][0].verdict == "live" and found[8][0].n_found == 2
 
 
 def test_token_of_two_owners_is_dropped_and_empty_table(spark):
