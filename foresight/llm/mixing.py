@@ -110,7 +110,7 @@ def _fold(items: Column, item_type: str, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix(
+def item_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -120,7 +120,7 @@ def mix(
     fan_in: int = FAN_IN,
     seed: int = 29,
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies and taken words.
+    """One row per item: id, source, size, rows, source_size, target, copies and taken words.
 
     Size is the number of words, 0 for null and empty texts, which are taken 0 times. A null source
     is a source like any other and comes last. Rows equal in id, source and size are one item and
@@ -143,7 +143,7 @@ def mix(
     spread = (
         items.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
-        .withColumn("whole", F.floor(wanted).cast("int"))
+        .withColumn("whole", F.when(F.col("size") > 0, F.floor(wanted)).otherwise(0).cast("int"))
         .withColumn("part", F.when(F.col("size") > 0, wanted - F.floor(wanted)).otherwise(0.0))
     )
     weight = (F.col("size") * F.col("rows")).cast("double")
@@ -192,5 +192,31 @@ def mix(
         row["target"].alias("target"),
         copies.alias("copies"),
         (copies * row["size"]).cast("bigint").alias("taken"),
-        F.explode(F.sequence(F.lit(1), row["rows"])).alias("_copy"),
-    ).drop("_copy")
+        row["rows"].alias("rows"),
+    )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``item_copies`` with one row per input row; it takes the same options."""
+    items = item_copies(docs, id_col, **options)
+    return items.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("_row", "rows")
+
+
+def draw(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The mix itself: every input row as often as ``item_copies`` takes it, with all its columns.
+
+    Rows with null or empty texts hold no words and are not drawn. Texts are shuffled once.
+    """
+    items = item_copies(docs, id_col, text_col, source_col, **options)
+    wanted = items.filter(F.col("copies") > 0).select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    )
+    match = (
+        docs[id_col].eqNullSafe(F.col("_id"))
+        & docs[source_col].eqNullSafe(F.col("_source"))
+        & (word_count(docs[text_col]) == F.col("_size"))
+    )
+    drawn = docs.join(wanted, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])

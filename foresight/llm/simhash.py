@@ -124,6 +124,18 @@ def link_fingerprints(
     return dealt.mapInArrow(_links(radius), "a bigint, b bigint")
 
 
+def _grouped(marked: DataFrame, space: Workspace, radius: int, unit_rows: int) -> DataFrame:
+    """(fingerprint, root, component_id) from rows with id and fingerprint."""
+    distinct = space.put(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
+    edges = link_fingerprints(distinct.select("fingerprint"), space, radius, unit_rows)
+    roots = components(edges, space)
+    placed = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+    )
+    least = space.put(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return space.put(placed.join(least, "root").select("fingerprint", "root", "component_id"), "named")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -142,16 +154,31 @@ def near_duplicates(
 
     Equal fingerprints collapse before any pair is looked at, so groups of copies cost one row.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "simhash")
+    space = Workspace(docs.sparkSession, "simhash")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = space.put(fingerprints(picked, "text", shingle), "marked")
-    distinct = space.put(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    edges = link_fingerprints(distinct.select("fingerprint"), space, radius, unit_rows)
-    roots = components(edges, space)
-    placed = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
-    least = space.put(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = space.put(placed.join(least, "root").select("fingerprint", "component_id"), "named")
+    named = _grouped(marked, space, radius, unit_rows)
     return marked.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    unit_rows: int = UNIT_ROWS,
+) -> DataFrame:
+    """The input with one row left of each component: that of the smallest id, rows without id last.
+
+    Of several rows with that id one stays. All columns pass through; texts are shuffled once.
+    """
+    space = Workspace(docs.sparkSession, "simhash")
+    stored = space.put(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
+    picked = stored.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "_row")
+    marked = space.put(fingerprints(picked, "text", shingle), "marked")
+    named = _grouped(marked, space, radius, unit_rows)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
+    first = marked.join(named, "fingerprint").groupBy("root").agg(best.alias("first"))
+    kept = space.put(first.select("first._row"), "kept")
+    return stored.join(kept, "_row", "left_semi").drop("_row")

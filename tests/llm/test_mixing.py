@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from foresight.llm.mixing import mix
+from foresight.llm.mixing import draw, mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,7 +80,13 @@ def test_edges(spark):
     for _, t, s in rows:
         sizes[s] += size(t)
     assert by_source == pytest.approx(targets(sizes))
-    assert mix(docs.limit(0)).count() == 0
+    assert mix(docs.limit(0)).count() == 0 and draw(docs.limit(0)).count() == 0
+    drawn = sorted((r.doc_id or 0, r.text) for r in draw(docs).collect())
+    assert drawn == sorted((r.doc_id or 0, t) for r in out if r.taken for t in [named(rows, r)] * r.copies)
+
+
+def named(rows, r):
+    return next(t for i, t, s in rows if (i, s, size(t)) == (r.doc_id, r.source, r.size))
 
 
 def test_documents(spark):

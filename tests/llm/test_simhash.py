@@ -7,7 +7,7 @@ import xxhash
 
 from foresight.llm.bktree import BKTree
 from foresight.llm.graph import Forest, components
-from foresight.llm.simhash import fingerprint, link_fingerprints, near_duplicates
+from foresight.llm.simhash import deduplicate, fingerprint, link_fingerprints, near_duplicates
 from foresight.llm.workspace import Workspace
 
 
@@ -115,3 +115,7 @@ def test_documents(spark):
     named = [4, 4, 5, 5, 5, 8, 4]
     assert out == sorted((i or -1, m, c) for (i, _, _), m, c in zip(rows, marks, named, strict=True))
     assert near_duplicates(docs.limit(0)).count() == 0
+    left = sorted((r.doc_id or 0, r.text) for r in deduplicate(docs).collect())
+    assert [i for i, _ in left] == [4, 5, 8] and left[0][1] == " ".join(near)
+    nameless = docs.filter("doc_id is null").union(docs.filter("doc_id is null"))
+    assert deduplicate(nameless).count() == 1 and deduplicate(docs.limit(0)).count() == 0
