@@ -28,7 +28,9 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete tables; Spark's cleaner, told to look, deletes the shuffle files of ended jobs."""
         context = self.spark.sparkContext
         for name in names:
             path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context._jvm.System.gc()
