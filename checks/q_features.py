@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import sql, testbed
 from checks.registry import query
-from checks.sql import ACTIVE, RAW, SNAPSHOTS, SUPPORT, usage_cte, with_
+from checks.sql import ACTIVE, RAW, SNAPSHOTS, SUPPORT, raw_ctes, usage_cte, with_
 from checks.testbed import CUTOFFS
 from foresight import contract
 from foresight.functions.dates import month_end_frame, month_ends
@@ -18,7 +18,7 @@ from foresight.models.prep import churn_preprocessor, sales_preprocessor, scalin
 from foresight.operators import spine, support, usage
 from foresight.operators.leakage import leakage_report
 from foresight.operators.packing import pack_by_cutoff
-from foresight.plans.build import append_cohorts, build_snapshots
+from foresight.plans.build import append_cohorts, build_snapshots, run_snapshot_job
 from foresight.session import ensure_checkpoint_dir
 from foresight.sources.raw import conform, load_raw, normalise_flags
 from foresight.sources.store import read_snapshots, write_snapshots
@@ -30,6 +30,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """The four tables as CSV with headers, as the jobs read them."""
+    folder = scratch(spark)
+    for name, df in testbed.raw(spark, sf_dir).items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return folder
+
+
 def snapshots(spark: SparkSession, sf_dir: str, cutoffs=None, hot=None) -> DataFrame:
     raw = testbed.raw(spark, sf_dir)
     return build_snapshots(
@@ -62,7 +70,7 @@ SNAPSHOT_SQL = SNAPS + f"SELECT {', '.join(contract.SNAPSHOT_COLUMNS)} FROM snap
 )
 def a1(spark, sf):
     keys = dict(zip(contract.RAW_TABLES, ["account_id", "subscription_id", "subscription_id", "ticket_id"], strict=True))
-    tables = load_raw(spark, sf, tables=testbed.raw(spark, sf))
+    tables = load_raw(spark, raw_files(spark, sf), fmt="csv")
     counted = [
         df.agg(
             F.lit(name).alias("name"),
@@ -387,13 +395,20 @@ def e4(spark, sf):
     return leakage_report(spark, testbed.subscriptions(spark, sf))
 
 
-@query("e5_snapshot_job", SNAPS + "SELECT cutoff_date, count(*) AS row_count, sum(churn_next_30d)::BIGINT AS churners,"
-       " sum(ticket_count_60d) AS ticket_total, sum(usage_count_30d) AS usage_total FROM snapshots GROUP BY 1")
+BY_CUTOFF = (
+    "SELECT cutoff_date, count(*) AS row_count, sum(churn_next_30d)::BIGINT AS churners,"
+    " sum(ticket_count_60d) AS ticket_total, sum(usage_count_30d) AS usage_total FROM snapshots GROUP BY 1"
+)
+
+
+@query("e5_snapshot_job", SNAPS + BY_CUTOFF)
 def e5(spark, sf):
-    from foresight.operators.leakage import audit_leakage
+    """The whole job, from files to files."""
+    return _by_cutoff(run_snapshot_job(spark, raw_files(spark, sf), scratch(spark), CUTOFFS))
+
 
-    stored = read_snapshots(spark, write_snapshots(audit_leakage(snapshots(spark, sf)), scratch(spark)))
-    return stored.groupBy("cutoff_date").agg(
+def _by_cutoff(df: DataFrame) -> DataFrame:
+    return df.groupBy("cutoff_date").agg(
         F.count("*").alias("row_count"),
         F.sum("churn_next_30d").alias("churners"),
         F.sum("ticket_count_60d").alias("ticket_total"),
@@ -401,6 +416,12 @@ def e5(spark, sf):
     )
 
 
+@query("e2c_snapshots_of_whole_span", with_(raw_ctes(*testbed.WHOLE_SPAN), *SNAPSHOTS[1:]) + BY_CUTOFF)
+def e2c(spark, sf):
+    """All months that the orders span, folded to one row each."""
+    return _by_cutoff(snapshots(spark, sf, month_ends(*testbed.WHOLE_SPAN)))
+
+
 # --- F: preprocessing ---
 
 SCALED = ["active_tenure_days", "seats", "usage_count_30d", "ticket_count_60d", "avg_resolution_time_hours_60d"]

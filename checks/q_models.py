@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import testbed
-from checks.q_features import SNAPS, snapshots
+from checks.q_features import SNAPS, scratch, snapshots
 from checks.registry import query
 from checks.sql import ACTIVE, RAW, SCORED, SNAPSHOTS, with_
 from checks.testbed import CUTOFFS
 from foresight import contract
 from foresight.functions.labels import feature_drift_label, run_drift_label
 from foresight.functions.numbers import round_half_even
-from foresight.models.churn import ChurnModel, margin
+from foresight.models.churn import ChurnModel, FittedChurnModel, margin
+from foresight.models.sales import SalesModel
 from foresight.operators import drift, metrics, recourse
 from foresight.operators.outputs import prediction_table, run_notes, with_customer_id
 from foresight.operators.split import split_by_position, temporal_split
-from foresight.plans.score import ScoringRun, score_holdout
+from foresight.plans.score import publish, run_scoring_job, score_holdout
 from foresight.session import cut_lineage
+from foresight.sources.store import write_snapshots
 
 POPULATION = with_(RAW, ACTIVE, SCORED)
 LABEL, P, FORECAST, ACTUAL = "churn_next_30d", "churn_probability", "predicted_sales", "future_mrr_30d"
@@ -375,14 +375,20 @@ def i3(spark, sf):
 
 @query(
     "i4_immutable_check",
-    SNAPS + "SELECT 'violations' AS name, 0::BIGINT AS row_count FROM snapshots"
-    " WHERE cutoff_date = '1999-09-30' LIMIT 1",
+    SNAPS + "SELECT cutoff_date, 'industry' AS \"column\", count(*) AS row_count FROM snapshots"
+    " WHERE subscription_id % 101 = 0 AND industry IS NOT NULL GROUP BY 1",
 )
 def i4(spark, sf):
-    september = snapshots(spark, sf, CUTOFFS[-1:])
-    changed = recourse.apply_candidate(recourse.explode_candidates(september))
-    found = recourse.immutable_violations(september, changed, ["subscription_id"])
-    return found.agg(F.lit("violations").alias("name"), F.count("*").alias("row_count"))
+    """Candidates change no immutable column; a tampered industry is found in every row that has one."""
+    keys = ["subscription_id", "cutoff_date"]
+    rows = snapshots(spark, sf)
+    changed = recourse.apply_candidate(recourse.explode_candidates(rows))
+    industry = F.when(F.col("subscription_id") % 101 == 0, F.lower("industry")).otherwise(F.col("industry"))
+    tampered = rows.withColumn("industry", industry)
+    found = recourse.immutable_violations(rows, changed, keys).union(
+        recourse.immutable_violations(rows, tampered, keys)
+    )
+    return found.groupBy("cutoff_date", "column").agg(F.count("*").alias("row_count"))
 
 
 @query(
@@ -626,29 +632,23 @@ def k4(spark, sf):
     return _queue(spark, sf).select(notes.alias("notes"))
 
 
-# --- Fitted models: no SQL twin. 20 boosting rounds here; the library default is 100. ---
-
-ROUNDS = 20
-
+# --- Fitted models: no SQL twin. Every entry fits its own, with the library's defaults. ---
 
-@lru_cache(maxsize=2)
-def _run_for(application: str, sf_dir: str) -> ScoringRun:
-    from pyspark.sql import SparkSession
 
-    data = cut_lineage(snapshots(SparkSession.getActiveSession(), sf_dir))
-    return score_holdout(data, churn_model=ChurnModel({"maxIter": ROUNDS}))
+def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return temporal_split(cut_lineage(snapshots(spark, sf)))
 
 
-def _run(spark, sf) -> ScoringRun:
-    """One fit serves all model queries of a session."""
-    return _run_for(spark.sparkContext.applicationId, sf)
+def _churn(train: DataFrame) -> FittedChurnModel:
+    return ChurnModel().fit(train, keys=["subscription_id", "cutoff_date"])
 
 
 @query("g4_tree_margins")
 def g4(spark, sf):
     """Uncalibrated margins of each fold's trees on the holdout."""
-    churn = _run(spark, sf).churn
-    rows = churn.preprocessor.transform(temporal_split(snapshots(spark, sf))[1])
+    train, holdout = _split(spark, sf)
+    churn = _churn(train)
+    rows = churn.preprocessor.transform(holdout)
     for fold, member in enumerate(churn.members):
         rows = margin(member.trees, rows, f"margin_{fold}")
     return rows.select("subscription_id", "cutoff_date", *[f"margin_{i}" for i in range(len(churn.members))])
@@ -658,29 +658,39 @@ def g4(spark, sf):
 def g5(spark, sf):
     members = [
         (i, m.trees.getNumTrees, float(m.sigmoid[0]), float(m.sigmoid[1]))
-        for i, m in enumerate(_run(spark, sf).churn.members)
+        for i, m in enumerate(_churn(_split(spark, sf)[0]).members)
     ]
     return spark.createDataFrame(members, "fold int, trees int, slope double, intercept double")
 
 
 @query("g6_churn_scores")
 def g6(spark, sf):
-    holdout = temporal_split(snapshots(spark, sf))[1]
-    scored = _run(spark, sf).churn.transform(holdout)
+    train, holdout = _split(spark, sf)
+    scored = _churn(train).transform(holdout)
     return scored.select("subscription_id", "cutoff_date", P)
 
 
 @query("g13_revenue_forecasts")
 def g13(spark, sf):
-    holdout = temporal_split(snapshots(spark, sf))[1]
-    return _run(spark, sf).sales.transform(holdout).select("subscription_id", "cutoff_date", FORECAST)
+    train, holdout = _split(spark, sf)
+    return SalesModel().fit(train, contract.SALES_TARGET).transform(holdout).select("subscription_id", "cutoff_date", FORECAST)
 
 
 @query("k3_run_telemetry")
 def k3(spark, sf):
-    return _run(spark, sf).telemetry.drop("auxiliary_metrics")
+    """The record, its auxiliary metrics spread over columns."""
+    run = score_holdout(cut_lineage(snapshots(spark, sf)))
+    aux = F.col("auxiliary_metrics")
+    psi = F.transform(F.array_sort(F.map_entries(aux["psi_by_feature"])), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    extra = {f"aux_{k}": aux[k] for k in ("precision", "recall", "f1", "brier_score")}
+    return run.telemetry.withColumns({**extra, "aux_psi": F.concat_ws(",", psi)}).drop("auxiliary_metrics")
 
 
 @query("k6_scoring_job")
 def k6(spark, sf):
-    return _run(spark, sf).predictions
+    """The job from saved snapshots to exported files and the published run."""
+    snapshot_path = write_snapshots(snapshots(spark, sf), scratch(spark))
+    run = run_scoring_job(spark, snapshot_path, scratch(spark))
+    published = scratch(spark)
+    publish(spark, run, f"{published}/telemetry", f"{published}/predictions")
+    return spark.read.parquet(f"{published}/predictions").drop("run_id")

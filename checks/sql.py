@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from checks.testbed import END, START
 
-RAW = f"""
+
+def raw_ctes(start: str, end: str) -> str:
+    return f"""
 cutoffs AS (
   SELECT last_day(m)::TIMESTAMP AS cutoff_date
-  FROM (SELECT unnest(generate_series(DATE '{START[:8]}01', DATE '{END}', INTERVAL 1 MONTH)) AS m)
-  WHERE last_day(m) BETWEEN DATE '{START}' AND DATE '{END}'),
+  FROM (SELECT unnest(generate_series(DATE '{start[:8]}01', DATE '{end}', INTERVAL 1 MONTH)) AS m)
+  WHERE last_day(m) BETWEEN DATE '{start}' AND DATE '{end}'),
 accounts AS (
   SELECT c_custkey AS account_id, c_name AS account_name, c_mktsegment AS industry, n_name AS country,
     first_order + to_days((c_custkey % 700)::INT) + to_hours(c_custkey % 24) AS signup_date,
@@ -43,6 +45,9 @@ tickets AS (
     CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 4 = 0 END AS escalation_flag
   FROM events))"""
 
+
+RAW = raw_ctes(START, END)
+
 ACTIVE = """
 active AS (
   SELECT s.*, c.cutoff_date FROM subscriptions s JOIN cutoffs c

@@ -12,6 +12,8 @@ from foresight.functions.dates import month_ends
 
 START, END = "1998-01-31", "1999-09-30"
 CUTOFFS = month_ends(START, END)
+# Every month end that the orders span.
+WHOLE_SPAN = ("1995-01-31", "2001-08-31")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

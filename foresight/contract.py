@@ -22,7 +22,6 @@ PSI_EPSILON = 1e-4
 PSI_STABLE = 0.10
 PSI_CRITICAL = 0.20
 WRITE_BATCH = 500
-READ_CAP = 2000
 
 IDENTIFIERS = ["subscription_id", "account_id", "cutoff_date"]
 CHURN_TARGET = "churn_next_30d"
@@ -112,6 +111,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in fields])
 
 
+# --- Fixed values: table schemas ---
 ACCOUNTS = _schema(
     ("account_id", T.StringType()),
     ("account_name", T.StringType()),
@@ -206,3 +206,4 @@ CUSTOMER_PREDICTIONS = _schema(
     ("prescribed_risk_drop", T.DecimalType(5, 4)),
     ("created_at", T.TimestampType()),
 )
+# --- End of fixed values ---

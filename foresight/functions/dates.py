@@ -51,7 +51,33 @@ def ntz(value: datetime | str) -> Column:
 
 def cutoff_array(cutoffs: Sequence[datetime | str]) -> Column:
     """The calendar as one array literal: exploding it needs neither a join nor a broadcast."""
-    return F.array(*[ntz(c) for c in cutoffs])
+    return F.array(*[ntz(c) for c in cutoffs]).cast("array<timestamp_ntz>")
+
+
+def _month_number(at: Column) -> Column:
+    return F.year(at) * 12 + F.month(at)
+
+
+def cutoffs_near(cutoffs: Sequence[datetime | str], low: Column, high: Column) -> Column:
+    """The part of the calendar from the month of ``low`` to the month of ``high``, as an array.
+
+    A superset of the cutoffs in ``[low, high]`` that is found by position, so that a row fans out to
+    the few cutoffs around it and not to the whole calendar. A null ``high`` is open; a null ``low``
+    gives no cutoff.
+    """
+    ordered = sorted(datetime.fromisoformat(c) if isinstance(c, str) else c for c in cutoffs)
+    if not ordered:
+        return cutoff_array([])
+    months = [c.year * 12 + c.month for c in ordered]
+    base, span = months[0], months[-1] - months[0] + 1
+    before = F.array(*[F.lit(sum(m < base + k for m in months)) for k in range(span + 1)])
+
+    def first_from(month: Column) -> Column:
+        return F.get(before, F.greatest(F.lit(0), F.least(F.lit(span), month - base)))
+
+    start = first_from(_month_number(low))
+    end = F.coalesce(first_from(_month_number(high) + 1), F.lit(len(ordered)))
+    return F.slice(cutoff_array(ordered), start + 1, F.greatest(F.lit(0), end - start))
 
 
 def days(n: int) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,19 +97,24 @@ def search_customers(latest: DataFrame, text: str, regex: bool = False) -> DataF
 
 
 def systematic_sample(
-    latest: DataFrame, order_cols: Sequence[str], target: int = 60
+    latest: DataFrame, order_cols: Sequence[str], target: int
 ) -> DataFrame:
     """Every ``max(1, n // min(target, n))``-th row by predicted sales, labelled ``Sub-1`` onwards.
 
     ``order_cols`` has to break ties among equal sales. Between ``target`` and ``2 * target - 1``
-    rows come back once there are that many.
+    rows come back once there are that many. Only the order columns are sorted; the sample's keys,
+    fewer than ``2 * target``, are broadcast to fetch the other columns.
     """
-    ranked = with_row_number(latest, ["predicted_sales", *order_cols], "_position")
+    keys = list(dict.fromkeys(["predicted_sales", *order_cols]))
+    ranked = with_row_number(latest.select(*keys), keys, "_position")
     n = ranked.count()
     step = max(1, n // max(1, min(target, n)))
-    picked = ranked.filter((F.col("_position") - 1) % step == 0)
     label = F.concat(F.lit("Sub-"), F.floor((F.col("_position") - 1) / step) + 1)
-    return picked.withColumn("subscriber_idx", label).drop("_position")
+    picked = ranked.filter((F.col("_position") - 1) % step == 0).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], label.alias("subscriber_idx")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return latest.join(F.broadcast(picked), same).select(*latest.columns, "subscriber_idx")
 
 
 def priority_table(
@@ -134,7 +141,9 @@ def spend_deciles(
     latest: DataFrame, order_cols: Sequence[str], buckets: int = 10
 ) -> DataFrame:
     """Mean lower bound, forecast and upper bound per spend decile; ``order_cols`` break ties."""
-    ranked = with_row_number(latest, ["predicted_sales", *order_cols], "_position")
+    keys = ["predicted_sales", *order_cols]
+    needed = dict.fromkeys([*keys, "sales_lower_bound", "sales_upper_bound"])
+    ranked = with_row_number(latest.select(*needed), keys, "_position")
     total = ranked.count()
     tile = ntile(F.col("_position"), F.lit(total), buckets)
 

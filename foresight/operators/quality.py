@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from foresight import contract
 from foresight.functions.numbers import round_half_even
+from foresight.operators.skew import join_runs, join_unique
 
 Rules = list[tuple[str, Column]]
 
@@ -153,12 +154,12 @@ def quarantine(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
 
 def orphans(predictions: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Predictions whose run is not registered."""
-    return predictions.join(telemetry.select("run_id"), "run_id", "left_anti")
+    return join_runs(predictions, telemetry.select("run_id"), "left_anti")
 
 
 def without_runs(df: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows left after the runs in ``removed`` (``run_id``) are deleted, cascading to predictions."""
-    return df.join(removed.select("run_id"), "run_id", "left_anti")
+    return join_runs(df, removed.select("run_id"), "left_anti")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -176,7 +177,9 @@ def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
 
 def unknown_accounts(subscriptions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Subscriptions without an account row; the revenue model cannot score them."""
-    return subscriptions.join(accounts.select("account_id"), "account_id", "left_anti")
+    known = accounts.select("account_id").withColumn("_known", F.lit(True))
+    marked = join_unique(subscriptions, known, "account_id", "left")
+    return marked.filter(F.col("_known").isNull()).drop("_known")
 
 
 def integrity_summary(predictions: DataFrame) -> DataFrame:
@@ -190,9 +193,9 @@ def integrity_summary(predictions: DataFrame) -> DataFrame:
 
 
 def high_risk_sample(
-    predictions: DataFrame, order_cols: Sequence[str], cut: float = 0.65, rows: int = 5
+    predictions: DataFrame, order_cols: Sequence[str], rows: int, cut: float = 0.65
 ) -> DataFrame:
-    """The first rows above the cut in ``order_cols`` order: the report's short sample."""
+    """The first ``rows`` rows above the cut in ``order_cols`` order: the report's short sample."""
     return (
         predictions.filter(F.col("churn_probability") > cut)
         .orderBy(*order_cols)

@@ -72,7 +72,8 @@ def exact_quantiles(
     """
     probs = [float(p) for p in probabilities]
     indices = range(len(probs))
-    values = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    numbers = F.nanvl(F.col(value).cast("double"), F.lit(None))  # NaN is a missing value
+    values = df.select(group, numbers.alias("v")).filter(F.col("v").isNotNull())
     margin = 2.0 / accuracy
     targets = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketches = values.groupBy(group).agg(
@@ -133,12 +134,16 @@ def exact_quantiles(
         hit = (rank >= F.col("first")) & (rank < F.col("first") + F.col("c"))
         return F.max(F.when(hit, v))
 
+    def found(name: str) -> Column:
+        """A rank outside its bracket would leave a silent null behind."""
+        return F.coalesce(F.col(name), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+
     picks, quantiles = [], []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("n") - 1)
         picks += [at_rank(F.floor(position)).alias(f"a{i}"), at_rank(F.ceil(position)).alias(f"b{i}")]
         share = position - F.floor(position)
-        quantiles.append(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * share)
+        quantiles.append(found(f"a{i}") + (found(f"b{i}") - found(f"a{i}")) * share)
     return (
         ranked.groupBy(group, "n", "low", "high")
         .agg(*picks)

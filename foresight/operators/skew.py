@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE_FRACTION = 0.01
+MOST_BROADCAST_RUNS = 100_000
 MIN_SAMPLED_ROWS = 200
 HOT_FACTOR = 4
 
@@ -48,6 +49,21 @@ def _salt(key: Column, hot: Sequence, spread: Column, width: int) -> Column:
     return F.when(hot_row, F.pmod(spread, F.lit(width))).otherwise(F.lit(0))
 
 
+def join_runs(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Join any number of rows to ``runs`` on ``run_id``, never shuffling a run's rows to one task.
+
+    A run table of up to ``MOST_BROADCAST_RUNS`` rows, counted first, is broadcast; a longer one goes
+    through ``join_unique``, which salts the large runs. Rows are the same either way.
+    """
+    width = runs.limit(MOST_BROADCAST_RUNS + 1).count()
+    if width <= MOST_BROADCAST_RUNS:
+        return rows.join(F.broadcast(runs), "run_id", how)
+    if how == "left_anti":
+        marked = join_unique(rows, runs.select("run_id").distinct().withColumn("_known", F.lit(True)), "run_id", "left")
+        return marked.filter(F.col("_known").isNull()).drop("_known")
+    return join_unique(rows, runs, "run_id", how)
+
+
 def join_unique(
     fact: DataFrame,
     unique: DataFrame,
@@ -58,6 +74,9 @@ def join_unique(
 ) -> DataFrame:
     """Join ``fact`` to ``unique`` (one row per ``key``), spreading hot keys over all partitions.
 
+    The sample scans the key column alone, once per build; pass ``hot`` to save it. Whichever keys
+    are salted, the rows are the same: the switches above only decide balance.
+
     ``hot=None`` samples ``fact`` for hot keys; an empty list is a plain equi-join. Only the hot
     rows of ``unique`` are repeated, once per salt, so the other keys pay nothing. ``spread`` names
     the columns whose hash places a hot row, which keeps a retried task's output the same.

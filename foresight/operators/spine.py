@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foresight import contract
-from foresight.functions.dates import cutoff_array, days, ntz, whole_days
+from foresight.functions.dates import cutoffs_near, days, ntz, whole_days
 from foresight.functions.flags import flag
 from foresight.operators.skew import join_unique
 
@@ -38,7 +38,8 @@ def explode_active(subscriptions: DataFrame, cutoffs: Cutoffs) -> DataFrame:
 
     The calendar is a literal array, so this is a narrow generate-and-filter: no join, no shuffle.
     """
-    spine = subscriptions.withColumn("cutoff_date", F.explode(cutoff_array(cutoffs)))
+    near = cutoffs_near(cutoffs, F.col("start_date"), F.col("end_date"))
+    spine = subscriptions.withColumn("cutoff_date", F.explode(near))
     return spine.filter(live_at(F.col("cutoff_date")))
 
 

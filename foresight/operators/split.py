@@ -22,15 +22,24 @@ def split_by_position(
     test_ratio: float = contract.TEST_RATIO,
     at_least: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """The first rows in ``order_cols`` order to train, the rest to holdout."""
+    """The first rows in ``order_cols`` order to train, the rest to holdout.
+
+    ``order_cols`` has to be unique per row. Only these columns are sorted; the key of the last train
+    row then cuts the frame by two filters.
+    """
     if not order_cols:
         raise ValueError("a split by position needs order_cols: Spark rows have no order")
-    size = max(at_least, _train_size(df.count(), test_ratio))
-    ranked = with_row_number(df, order_cols, "_position")
-    return (
-        ranked.filter(F.col("_position") <= size).drop("_position"),
-        ranked.filter(F.col("_position") > size).drop("_position"),
-    )
+    n = df.count()
+    size = max(at_least, _train_size(n, test_ratio))
+    if size >= n:
+        return df, df.limit(0)
+    if size == 0:
+        return df.limit(0), df
+    ranked = with_row_number(df.select(*order_cols), order_cols, "_position")
+    last = ranked.filter(F.col("_position") == size).drop("_position").first()
+    edge = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order_cols])
+    key = F.struct(*order_cols)
+    return df.filter(key <= edge), df.filter(key > edge)
 
 
 def temporal_split(
@@ -55,8 +64,8 @@ def temporal_split(
         boundary = cutoffs[max(1, _train_size(len(cutoffs), test_ratio))]
     else:
         boundary = split_date
-        first, last = str(cutoffs[0]), str(cutoffs[-1])
-        if not first < str(split_date) <= last:
-            return split_by_position(df, order_cols, test_ratio)
     edge = F.lit(boundary).cast(df.schema[cutoff_col].dataType)
+    typed = df.sparkSession.range(1).select(edge).first()[0]  # compared as the column compares it
+    if not cutoffs[0] < typed <= cutoffs[-1]:
+        return split_by_position(df, order_cols, test_ratio)
     return df.filter(F.col(cutoff_col) < edge), df.filter(F.col(cutoff_col) >= edge)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foresight import contract
-from foresight.functions.dates import cutoff_array, days, ntz
+from foresight.functions.dates import cutoffs_near, days, ntz
 from foresight.functions.flags import flag
 from foresight.operators.packing import at_cutoff, pack_by_cutoff
 from foresight.operators.skew import join_unique
@@ -37,13 +37,15 @@ def tickets_in_window(
     at, cutoff = F.col("submitted_at"), F.col("cutoff_date")
     return (
         _in_calendar(tickets, cutoffs, window_days)
-        .withColumn("cutoff_date", F.explode(cutoff_array(cutoffs)))
+        .withColumn("cutoff_date", F.explode(cutoffs_near(cutoffs, at, at + days(window_days))))
         .filter((at <= cutoff) & (at >= cutoff - days(window_days)))
     )
 
 
 def _in_calendar(tickets: DataFrame, cutoffs: Cutoffs, window_days: int) -> DataFrame:
     ordered = sorted(str(c) for c in cutoffs)
+    if not ordered:
+        return tickets.limit(0)
     return tickets.filter(
         (F.col("submitted_at") >= ntz(ordered[0]) - days(window_days))
         & (F.col("submitted_at") <= ntz(ordered[-1]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foresight import contract
-from foresight.functions.dates import cutoff_array, days, ntz
+from foresight.functions.dates import cutoffs_near, days, ntz
 from foresight.functions.flags import flag, ratio
 from foresight.operators.packing import at_cutoff, pack_by_cutoff
 from foresight.operators.skew import join_unique
@@ -32,17 +32,24 @@ def usage_candidates(
     floor_days: int | None = contract.USAGE_FLOOR_DAYS,
 ) -> DataFrame:
     """Every event repeated for each cutoff whose candidate window holds it (closed at both ends)."""
-    reach = floor_days or max(window_days, 2 * contract.VELOCITY_DAYS)
+    reach = _reach(window_days, floor_days)
     day, cutoff = F.col("usage_date"), F.col("cutoff_date")
     return (
         _in_calendar(usage, cutoffs, reach)
-        .withColumn("cutoff_date", F.explode(cutoff_array(cutoffs)))
+        .withColumn("cutoff_date", F.explode(cutoffs_near(cutoffs, day, day + days(reach))))
         .filter((day <= cutoff) & (day >= cutoff - days(reach)))
     )
 
 
+def _reach(window_days: int, floor_days: int | None) -> int:
+    """Days from the oldest candidate event to the cutoff; ``floor_days`` may be 0."""
+    return max(window_days, 2 * contract.VELOCITY_DAYS) if floor_days is None else floor_days
+
+
 def _in_calendar(usage: DataFrame, cutoffs: Cutoffs, reach: int) -> DataFrame:
     ordered = sorted(str(c) for c in cutoffs)
+    if not ordered:
+        return usage.limit(0)
     return usage.filter(
         (F.col("usage_date") >= ntz(ordered[0]) - days(reach))
         & (F.col("usage_date") <= ntz(ordered[-1]))
@@ -61,7 +68,7 @@ def guarded_usage(
 
     The join runs once per event on ``subscription_id``; cutoffs are fanned out after it.
     """
-    reach = floor_days or max(window_days, 2 * contract.VELOCITY_DAYS)
+    reach = _reach(window_days, floor_days)
     events = _in_calendar(usage.select(*EVENT_COLUMNS), cutoffs, reach)
     life = ever_live(subscriptions, cutoffs).select("subscription_id", "start_date", "end_date")
     joined = join_unique(events, life, "subscription_id", "inner", hot).filter(

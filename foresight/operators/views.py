@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from foresight import contract
 from foresight.functions.labels import risk_tier, run_drift_label
+from foresight.operators.skew import join_runs
 
+# Columns of the run views.
 RUN_COLUMNS = [
     "run_id",
     "model_version",
@@ -67,10 +69,11 @@ def dashboard_rows(
     predictions: DataFrame,
     telemetry: DataFrame,
     order_cols: Sequence[str] = ("customer_id",),
-    cap: int = contract.READ_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """The capped read of the newest run; ordered, so that the same rows come back every time."""
-    return latest_predictions(predictions, telemetry).orderBy(*order_cols).limit(cap)
+    """The newest run in order; ``cap`` keeps only its first rows, the same ones every time."""
+    rows = latest_predictions(predictions, telemetry).orderBy(*order_cols)
+    return rows if cap is None else rows.limit(cap)
 
 
 def drift_governance(telemetry: DataFrame) -> DataFrame:
@@ -91,10 +94,7 @@ def drift_governance(telemetry: DataFrame) -> DataFrame:
 def retention_queue(
     predictions: DataFrame, telemetry: DataFrame, latest_only: bool = False
 ) -> DataFrame:
-    """Queued customers of all runs (or the newest), by expected revenue loss.
-
-    Telemetry has one narrow row per run; whether it is broadcast is left to the size statistics.
-    """
+    """Queued customers of all runs (or the newest), by expected revenue loss."""
     runs = telemetry.select("run_id", "risk_threshold")
     if latest_only:
         predictions = predictions.join(
@@ -104,7 +104,7 @@ def retention_queue(
     cut = F.coalesce(F.col("risk_threshold").cast("double"), F.lit(contract.DECISION_THRESHOLD))
     ids = [c for c in ("subscription_id", "cutoff_date") if c in predictions.columns]
     return (
-        predictions.join(runs, "run_id", "left")
+        join_runs(predictions, runs, "left")
         .filter(p >= cut)
         .select(
             "customer_id",

@@ -117,8 +117,13 @@ def run_snapshot_job(
     out_path: str,
     cutoffs: Sequence[datetime | str] | None = None,
     raw_format: str = "csv",
+    hot: dict[str, Sequence] | None = None,
+    compact: bool = True,
 ) -> DataFrame:
-    """Load, check keys, build, audit, save; returns the saved table."""
+    """Load, check keys, build, audit, save; returns the saved table.
+
+    ``hot`` is handed to ``build_snapshots``, ``compact`` to ``write_snapshots``.
+    """
     from foresight.operators.quality import require_unique
     from foresight.sources.raw import load_raw
     from foresight.sources.store import read_snapshots, write_snapshots
@@ -127,7 +132,12 @@ def run_snapshot_job(
     require_unique(raw["accounts"], "account_id", "accounts")
     require_unique(raw["subscriptions"], "subscription_id", "subscriptions")
     snapshots = build_snapshots(
-        raw["accounts"], raw["subscriptions"], raw["feature_usage"], raw["support_tickets"], cutoffs
+        raw["accounts"],
+        raw["subscriptions"],
+        raw["feature_usage"],
+        raw["support_tickets"],
+        cutoffs,
+        hot=hot,
     )
-    write_snapshots(audit_leakage(snapshots), out_path)
+    write_snapshots(audit_leakage(snapshots), out_path, compact=compact)
     return read_snapshots(spark, out_path)

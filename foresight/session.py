@@ -17,6 +17,8 @@ def local_session(app: str = "foresight", cores: int | str = "*") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Spark deletes a checkpoint once no frame refers to it any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Small single-file inputs: keep the shuffle's parallelism after a join turns into a broadcast.
         .config("spark.sql.adaptive.localShuffleReader.enabled", "false")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from foresight import contract
@@ -35,8 +36,19 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     missing = [f.name for f in schema if f.name not in df.columns and f.name not in optional]
     if missing:
         raise ValueError(f"{table} lacks columns: {', '.join(missing)}")
-    return df.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns]
+    return df.select(*[_typed(df, f).alias(f.name) for f in schema if f.name in df.columns])
+
+
+def _typed(df: DataFrame, field: T.StructField) -> Column:
+    """A plain cast, but whole numbers may be written as ``30.0``; a fraction names its column."""
+    column = F.col(field.name)
+    if not (isinstance(field.dataType, T.IntegralType) and df.schema[field.name].dataType == T.StringType()):
+        return column.cast(field.dataType)
+    number = column.cast("decimal(38, 9)")
+    whole = number == F.floor(number)
+    complaint = F.concat(F.lit(f"{field.name} is not a whole number: "), column)
+    return F.when(number.isNull() | whole, number.cast(field.dataType)).otherwise(
+        F.raise_error(complaint).cast(field.dataType)
     )
 
 
