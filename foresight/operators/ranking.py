@@ -56,12 +56,48 @@ def ntile(position: Column, total: Column, buckets: int) -> Column:
     return F.when(position <= edge, early).otherwise(late).cast("int")
 
 
+def _sketch(value: Column, probabilities: Sequence[float], accuracy: int) -> list[Column]:
+    margin = 2.0 / accuracy
+    targets = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+    return [
+        F.count(value).alias("n"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.percentile_approx(value, targets, accuracy).alias("sketch"),
+    ]
+
+
+def column_sketches(
+    df: DataFrame, columns: Sequence[Column], probabilities: Sequence[float], group: str, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """Sketches of several columns in one row-wise aggregation; ``group`` is a column's place.
+
+    Values must be doubles without NaN; a column without values gives no row.
+    """
+    folded = [x.alias(f"{x_name}{i}") for i, c in enumerate(columns)
+              for x_name, x in zip("nlhs", _sketch(c, probabilities, accuracy), strict=True)]
+    rows = F.array(
+        *[
+            F.struct(
+                F.col(f"n{i}").alias("n"),
+                F.col(f"l{i}").alias("low"),
+                F.col(f"h{i}").alias("high"),
+                F.col(f"s{i}").alias("sketch"),
+            )
+            for i in range(len(columns))
+        ]
+    )
+    placed = df.agg(*folded).select(F.posexplode(rows).alias(group, "_x"))
+    return placed.select(group, "_x.*").filter(F.col("n") > 0)
+
+
 def exact_quantiles(
     df: DataFrame,
     group: str,
     value: str,
     probabilities: Sequence[float],
     accuracy: int = SKETCH_ACCURACY,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """``(group, n, low, high, quantiles)`` with linearly interpolated exact quantiles.
 
@@ -69,19 +105,15 @@ def exact_quantiles(
     brackets every quantile; one pass then counts the rows outside the brackets and keeps only the
     distinct values inside them (about ``6 / accuracy`` of the rows each), which are ranked per
     bracket. No task ever holds a whole column, unlike a value-to-count ``percentile`` buffer.
+    ``sketches`` may come from ``column_sketches``, which spares the first pass over single values.
     """
     probs = [float(p) for p in probabilities]
     indices = range(len(probs))
     numbers = F.nanvl(F.col(value).cast("double"), F.lit(None))  # NaN is a missing value
     values = df.select(group, numbers.alias("v")).filter(F.col("v").isNotNull())
-    margin = 2.0 / accuracy
-    targets = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketches = values.groupBy(group).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.percentile_approx("v", targets, accuracy).alias("sketch"),
-    )  # one row per group, hence the broadcasts below
+    if sketches is None:
+        sketches = values.groupBy(group).agg(*_sketch(F.col("v"), probs, accuracy))
+    # Sketches have one row per group, hence the broadcasts below.
 
     def bracket(extreme: str, i: int) -> Column:
         """A group too small for the margin to reach the next row is bracketed as a whole."""
