@@ -11,20 +11,40 @@ class Trie:
     def __init__(self, terms: Iterable[tuple[str, int]]) -> None:
         self.root: dict = {}
         self.most = 0
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        self.middles: set[str] = set()
         for term, allowed in terms:
+            self._note_pieces(term, allowed + 1)
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[None] = allowed
             self.most = max(self.most, allowed)
 
+    def _note_pieces(self, term: str, pieces: int) -> None:
+        """Of one piece more than edits are allowed, one is left whole: the first, the last or one between."""
+        edges = [len(term) * k // pieces for k in range(pieces + 1)]
+        head, tail = term[: edges[1]], term[edges[-2] :]
+        self.heads.setdefault(len(head), set()).add(head)
+        self.tails.setdefault(len(tail), set()).add(tail)
+        self.middles.update(term[a:b] for a, b in zip(edges[1:-2], edges[2:-1], strict=True))
+
+    def may_match(self, word: str) -> bool:
+        """False only where no term can be near: most words end here, before any walk."""
+        return (
+            any(word[:n] in heads for n, heads in self.heads.items())
+            or any(word[-n:] in tails for n, tails in self.tails.items() if n)
+            or any(middle in word for middle in self.middles)
+        )
+
     def distance(self, word: str) -> int | None:
         """The least edit distance to a term that allows it, or None.
 
         Bit j of state e says that j letters of the word are read after e edits or fewer. A branch
         ends where no state is left, so only terms near the word are walked.
         """
-        if not self.root:
+        if not self.root or not self.may_match(word):
             return None
         masks: dict[str, int] = {}
         for place, char in enumerate(word):

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from itertools import islice
 
 import numpy as np
@@ -21,14 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from foresight.llm.arrow import slices
 from foresight.llm.levenshtein import Trie
 from foresight.llm.workspace import Workspace
 
 #: Bounds of what the driver learns: lexicon words, beginnings, context words, rows of the regression.
+MOST_CANDIDATES = 20_000
 MOST_TERMS = 2000
 MOST_PREFIXES = 500
 MOST_CONTEXT = 5000
 FIT_ROWS = 20_000
+#: Labelled ids (12 bytes each) that may be broadcast.
+BROADCAST_LABELS = 1_000_000
 #: How sure (G statistic) and how one-sided (share of toxic texts, at equal numbers) a term must be.
 SURE_TERM, SURE_PREFIX, ONE_SIDED = 25.0, 40.0, 0.9
 PREFIX_LENGTHS = (4, 5, 6, 7)
@@ -159,6 +164,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _count_contexts(candidates):
+    """(key, context, toxic) of candidate words and beginnings; the context is the words on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, prefixes = candidates.value
+        for batch in batches:
+            rows: set[tuple[str, int, int]] = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for words in _words((text or "").lower()):
+                    keys = {w: [w] if w in terms else [] for w in set(words)}
+                    for w, own in keys.items():
+                        own += [f"{w[:n]}*" for n in PREFIX_LENGTHS if w[:n] in prefixes and len(w) > n]
+                    for place, word in enumerate(words):
+                        if keys[word]:
+                            around = f"{words[place - 1] if place else ''} {words[place + 1] if place + 1 < len(words) else ''}"
+                            mark = int.from_bytes(blake2b(around.encode(), digest_size=8).digest(), "little", signed=True)
+                            rows.update((key, mark, toxic) for key in keys[word])
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)],
+                names=["key", "context", "toxic"],
+            )
+
+    return run
+
+
 def _evidence(n_toxic: int, n_clean: int) -> tuple[Column, Column]:
     """G statistic against equal rates, and the toxic share had both labels equally many texts."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -173,14 +204,18 @@ def _evidence(n_toxic: int, n_clean: int) -> tuple[Column, Column]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, toxic): labelled texts; an id with several labels is toxic if at least half say so."""
+    """(id, text, toxic): labelled texts; an id with several labels is toxic if at least half say so.
+
+    Up to ``BROADCAST_LABELS`` labelled ids, counted first, go to the texts; more are joined by shuffles.
+    """
     marks = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
         .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("toxic"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(marks, "id")
+    few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return texts.join(F.broadcast(marks) if few else marks, "id")
 
 
 def fit(
@@ -193,7 +228,9 @@ def fit(
 ) -> ToxicModel:
     """Learn lexicon and weights from the labelled rows given.
 
-    Word counts cover all of them; the regression takes about ``fit_rows``, picked by the hash of the
+    Word counts cover all of them, in two rounds: words and beginnings that many more toxic texts hold
+    are candidates, and they are proved by the number of different neighbouring words. A text that is
+    copied a thousand times brings each word in one context only. The regression takes about ``fit_rows``, picked by the hash of the
     id. Null and empty texts count as texts without words. With one label only, or none at all, every
     score is that label's rate (0 without labels).
     """
@@ -211,7 +248,7 @@ def fit(
     )
     g, share = _evidence(n_toxic, n_clean)
     sure = words.filter((F.length("word") >= 4) & (share >= ONE_SIDED) & (g >= SURE_TERM))
-    terms = {r["word"] for r in sure.orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()}
+    likely = {r["word"] for r in sure.orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES).collect()}
     starts = F.array(
         *[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in PREFIX_LENGTHS]
     )
@@ -221,8 +258,22 @@ def fit(
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("n"))
         .filter((F.col("n") >= 3) & (share >= ONE_SIDED) & (g >= SURE_PREFIX))
     )
-    found = {r["prefix"] for r in families.orderBy(F.desc("toxic"), "prefix").limit(MOST_PREFIXES).collect()}
+    starting = {r["prefix"] for r in families.orderBy(F.desc("toxic"), "prefix").limit(MOST_CANDIDATES).collect()}
+    shipped = docs.sparkSession.sparkContext.broadcast((likely, starting))
+    contexts = (
+        rows.select("text", "toxic")
+        .mapInArrow(_count_contexts(shipped), "key string, context bigint, toxic int")
+        .distinct()
+        .groupBy("key")
+        .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    )
+    is_prefix = F.col("key").endswith("*")
+    enough = g >= F.when(is_prefix, SURE_PREFIX).otherwise(SURE_TERM)
+    proved = space.put(contexts.filter((share >= ONE_SIDED) & enough), "proved").orderBy(F.desc("toxic"), "key")
+    terms = {r["key"] for r in proved.filter(~is_prefix).limit(MOST_TERMS).collect()}
+    found = {r["key"][:-1] for r in proved.filter(is_prefix).limit(MOST_PREFIXES).collect()}
     prefixes = {p for p in found if not any(p[:n] in found for n in PREFIX_LENGTHS if n < len(p))}
+    terms = {t for t in terms if not any(t[:n] in prefixes for n in PREFIX_LENGTHS)}
     lean = F.log((F.col("toxic") + 1) / (n_toxic + 2)) - F.log((F.col("clean") + 1) / (n_clean + 2))
     common = (
         words.withColumn("lean", lean)
@@ -235,11 +286,11 @@ def fit(
     share_taken = min(1.0, fit_rows / sums["n"])
     sample = rows.filter(
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share_taken * (1 << 30)) + 1
-    ).limit(2 * fit_rows)
+    )
     table = (
         with_features(sample, model, "text").select("features", "toxic").toArrow()
     )
-    space.drop("train", "words")
+    space.drop("train", "words", "proved")
     features = np.array(table.column("features").to_pylist(), dtype=np.float64).reshape(-1, 7)
     model.weights = _logistic(features, np.array(table.column("toxic").to_pylist(), dtype=np.float64))
     return model
@@ -270,7 +321,7 @@ def with_features(docs: DataFrame, model: ToxicModel, text_col: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        for batch in batches:
+        for batch in slices(batches, text_col):
             rows = [learned.features(t) for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), pa.array(rows, pa.list_(pa.float64()))],

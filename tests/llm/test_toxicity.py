@@ -64,15 +64,22 @@ def test_held_out_documents(spark):
 
 
 def test_edges(spark):
-    bad = [(i, f"calm words here then awful{'abcdefgh'[i % 8]} and beastly tone", 1) for i in range(30)]
-    good = [(100 + i, f"calm words here then other things {i}", 0) for i in range(90)]
-    rows = [*bad, *good, (500, None, 1), (501, "", 0), (None, "beastly", 1), (0, bad[0][1], 1)]
+    def near(i):
+        return "abcdefghij"[i % 10] * 3 + "klmnopqrst"[i // 10 % 10]
+
+    bad = [
+        (i, f"calm words {near(i)} awful{'abcdefgh'[i % 8]} {near(i + 7)} beastly tone", 1) for i in range(30)
+    ]
+    copied = [(40 + i, "a copied text with peculiar words of one author", 1) for i in range(30)]
+    good = [(100 + i, f"calm words here then other things {i}", 0) for i in range(180)]
+    rows = [*bad, *copied, *good, (500, None, 1), (501, "", 0), (None, "beastly", 1), (0, bad[0][1], 1)]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id long, text string, score double")
     labels = spark.createDataFrame(
         [(i, x) for i, _, x in rows] + [(3, None), (7, 0), (9999, 1)], "doc_id long, toxic int"
     )
     learned = fit(docs, labels)
     assert "beastly" in learned.terms and "awfu" in learned.prefixes
+    assert "peculiar" not in learned.terms  # many copies are one piece of evidence
     out = {r.doc_id: r.score for r in score(docs, learned).collect()}
     assert len(out) == len({i for i, _, _ in rows})
     assert out[0] > 0.7 > 0.3 > out[100] and out[500] == out[501]
