@@ -196,9 +196,8 @@ def disclosing_terms(
     pairs = space.put(together.filter(F.col("n_both") >= support), "pairs")
     terms = space.put(pairs.select("term").distinct(), "terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    of_terms = (
-        texts.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    )
+    counted = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_terms = counted.join(terms, "term")  # counted first: the join sees a row a word, not one a use
     of_values = (
         base.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_value"))
     )
