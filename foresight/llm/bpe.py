@@ -5,17 +5,17 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foresight.llm.arrow import slices
+
 #: Texts are cut near multiples of this many characters.
 SEGMENT = 1 << 15
-#: Rows are handed back in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
 # Python and Rust disagree on a few control characters, so none of them borders a cut.
 _SOLID = r"[^\s\x1c-\x1f\x85\u180e\u200b]"
 #: Between two solid characters a single space always starts a new match of the pattern.
@@ -47,9 +47,15 @@ class Codec:
             if line.strip():
                 token, rank = line.split()
                 table[base64.b64decode(token)] = int(rank)
-        own = {"mergeable_ranks": table, "special_tokens": {}}
-        self.by_pattern = tiktoken.Encoding("ranks", pat_str=pattern, **own)
-        self.as_one = tiktoken.Encoding("ranks-whole", pat_str=r"[\s\S]+", **own)
+        self.own = {"mergeable_ranks": table, "special_tokens": {}}
+        self.by_pattern = tiktoken.Encoding("ranks", pat_str=pattern, **self.own)
+
+    @cached_property
+    def as_one(self):
+        """Takes a whole text as one match; only texts with long runs of white space need it."""
+        import tiktoken
+
+        return tiktoken.Encoding("ranks-whole", pat_str=r"[\s\S]+", **self.own)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -82,18 +88,6 @@ def _codec(ranks, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches of at most about ``SLICE_BYTES`` of the column, or of one row."""
-    for batch in batches:
-        start, held = 0, 0
-        for row, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-            if held and held + (size or 0) > SLICE_BYTES:
-                yield batch.slice(start, row - start)
-                start, held = row, 0
-            held += size or 0
-        yield batch.slice(start)
-
-
 def encode(
     docs: DataFrame,
     rank_file: str,
@@ -121,7 +115,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
-        for batch in _slices(batches, text_col):
+        for batch in slices(batches, text_col):
             packed, raw = [], []
             for text in batch.column(text_col).to_pylist():
                 ids = codec.encode(text or "")
@@ -146,7 +140,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
-        for batch in _slices(batches, ids_col):
+        for batch in slices(batches, ids_col):
             raw = [
                 codec.decode(np.frombuffer(x or b"", dtype="<u4").tolist())
                 for x in batch.column(ids_col).to_pylist()

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foresight.llm.arrow import slices
+
 UNKNOWN = "und"
 #: Symbols of the alphabet: 0 for what is no letter, 1-26 for a-z, the rest shared by other letters.
 SYMBOLS = 64
@@ -82,7 +84,7 @@ class LanguageModel:
 
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(GRAMS, dtype=bool)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         packed = [grams(t, seen).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "grams"]
@@ -180,7 +182,7 @@ def predict(
         learned = shared.value
         seen = np.zeros(GRAMS, dtype=bool)
         none = np.zeros(0, np.int32)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = [
                 grams(t, seen) if t and learned.languages and _LETTER.search(t) else none
                 for t in batch.column(text_col).to_pylist()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foresight.llm.arrow import slices
 from foresight.llm.workspace import Workspace
 
 KINDS = ["assign", "access", "hex", "token"]
@@ -77,7 +78,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         rows = [
             [dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in candidates(text or "")]
             for text in batch.column("text").to_pylist()

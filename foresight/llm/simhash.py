@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foresight.llm.arrow import slices
 from foresight.llm.bktree import BKTree
 from foresight.llm.graph import Forest, components
 from foresight.llm.units import UNIT_ROWS, in_units, units
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     schema = docs.select(*rest, F.lit(0).cast("bigint").alias("fingerprint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             marks = np.array(
                 [fingerprint(t, shingle) for t in batch.column(text_col).to_pylist()], dtype=np.uint64
             ).view(np.int64)
@@ -171,7 +172,8 @@ def deduplicate(
 ) -> DataFrame:
     """The input with one row left of each component: that of the smallest id, rows without id last.
 
-    Of several rows with that id one stays. All columns pass through; texts are shuffled once.
+    Of several rows with that id one stays. All columns pass through; texts are shuffled once at
+    most.
     """
     space = Workspace(docs.sparkSession, "simhash")
     stored = space.put(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
@@ -179,6 +181,9 @@ def deduplicate(
     marked = space.put(fingerprints(picked, "text", shingle), "marked")
     named = _grouped(marked, space, radius, unit_rows)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
-    first = marked.join(named, "fingerprint").groupBy("root").agg(best.alias("first"))
-    kept = space.put(first.select("first._row"), "kept")
-    return stored.join(kept, "_row", "left_semi").drop("_row")
+    placed = space.put(marked.join(named, "fingerprint").select("root", "id", "_row"), "placed")
+    first = space.put(placed.groupBy("root").agg(best.alias("first")).select("root", "first._row"), "first")
+    gone = placed.select("_row").join(first.select("_row"), "_row", "left_anti")
+    removed = space.put(gone, "removed")  # mostly far fewer than are kept: Spark broadcasts what it knows to be small
+    space.drop("marked", "distinct", "least", "named", "placed", "first")
+    return stored.join(removed, "_row", "left_anti").drop("_row")
