@@ -32,26 +32,32 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is set where over half of the shingle hashes (XXH64, seed 42) have it; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each run of ``shingle`` words, in blocks; of all words if there are fewer."""
     words = _WORD.findall((text or "").encode("utf-8", "replace").translate(_LOWER))
     if not words:
-        return 0
+        return
     shingle = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    total = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _BLOCK):
-        hashes = np.fromiter(
+        yield np.fromiter(
             (digest(joined[a:b], 42) for a, b in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)),
             dtype="<u8",
         )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit i is set where over half of the shingle hashes (XXH64, seed 42) have it; 0 without words."""
+    total, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    over = total * 2 > len(starts)
+        n += len(hashes)
+    over = total * 2 > n
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
@@ -180,10 +186,16 @@ def deduplicate(
     picked = stored.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "_row")
     marked = space.put(fingerprints(picked, "text", shingle), "marked")
     named = _grouped(marked, space, radius, unit_rows)
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
     placed = space.put(marked.join(named, "fingerprint").select("root", "id", "_row"), "placed")
+    space.drop("marked", "distinct", "least", "named")
+    return keep_first(stored, placed, space)
+
+
+def keep_first(stored: DataFrame, placed: DataFrame, space: Workspace) -> DataFrame:
+    """``stored`` (with ``_row``) without the rows that are not the first of their root in ``placed``."""
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
     first = space.put(placed.groupBy("root").agg(best.alias("first")).select("root", "first._row"), "first")
     gone = placed.select("_row").join(first.select("_row"), "_row", "left_anti")
     removed = space.put(gone, "removed")  # mostly far fewer than are kept: Spark broadcasts what it knows to be small
-    space.drop("marked", "distinct", "least", "named", "placed", "first")
+    space.drop("placed", "first")
     return stored.join(removed, "_row", "left_anti").drop("_row")
