@@ -26,10 +26,9 @@ from foresight.llm.arrow import slices
 from foresight.llm.levenshtein import Trie
 from foresight.llm.workspace import Workspace
 
-#: Bounds of what the driver learns: lexicon words, beginnings, context words, rows of the regression.
-MOST_CANDIDATES = 20_000
-MOST_TERMS = 2000
-MOST_PREFIXES = 500
+#: Candidates whose contexts are counted in one pass over the texts; more take more passes.
+CANDIDATES_PER_PASS = 100_000
+#: Bounds of what the driver learns besides the lexicon: context words, rows of the regression.
 MOST_CONTEXT = 5000
 FIT_ROWS = 20_000
 #: Labelled ids (12 bytes each) that may be broadcast.
@@ -190,6 +189,29 @@ def _count_contexts(candidates):
     return run
 
 
+def _context_counts(rows: DataFrame, candidates: DataFrame, space: Workspace, at_once: int) -> DataFrame:
+    """(key, toxic, clean): distinct contexts of every candidate; each pass ships one part of them."""
+    spark = rows.sparkSession
+    passes = max(1, math.ceil(candidates.count() / at_once))
+    part = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(passes))
+    for turn in range(passes):
+        keys = [r["key"] for r in candidates.filter(part == turn).collect()]
+        shipped = spark.sparkContext.broadcast(
+            ({k for k in keys if not k.endswith("*")}, {k[:-1] for k in keys if k.endswith("*")})
+        )
+        (
+            rows.select("text", "toxic")
+            .mapInArrow(_count_contexts(shipped), "key string, context bigint, toxic int")
+            .distinct()
+            .groupBy("key")
+            .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+            .write.mode("append")
+            .parquet(f"{space.root}/contexts")
+        )
+        shipped.destroy()
+    return spark.read.schema("key string, toxic bigint, clean bigint").parquet(f"{space.root}/contexts")
+
+
 def _evidence(n_toxic: int, n_clean: int) -> tuple[Column, Column]:
     """G statistic against equal rates, and the toxic share had both labels equally many texts."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -225,12 +247,14 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     fit_rows: int = FIT_ROWS,
+    candidates_per_pass: int = CANDIDATES_PER_PASS,
 ) -> ToxicModel:
     """Learn lexicon and weights from the labelled rows given.
 
     Word counts cover all of them, in two rounds: words and beginnings that many more toxic texts hold
     are candidates, and they are proved by the number of different neighbouring words. A text that is
-    copied a thousand times brings each word in one context only. The regression takes about ``fit_rows``, picked by the hash of the
+    copied a thousand times brings each word in one context only. Every candidate is tried, in as many
+    passes as they take, and every proved one is kept. The regression takes about ``fit_rows``, picked by the hash of the
     id. Null and empty texts count as texts without words. With one label only, or none at all, every
     score is that label's rate (0 without labels).
     """
@@ -248,7 +272,6 @@ def fit(
     )
     g, share = _evidence(n_toxic, n_clean)
     sure = words.filter((F.length("word") >= 4) & (share >= ONE_SIDED) & (g >= SURE_TERM))
-    likely = {r["word"] for r in sure.orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES).collect()}
     starts = F.array(
         *[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in PREFIX_LENGTHS]
     )
@@ -258,20 +281,16 @@ def fit(
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("n"))
         .filter((F.col("n") >= 3) & (share >= ONE_SIDED) & (g >= SURE_PREFIX))
     )
-    starting = {r["prefix"] for r in families.orderBy(F.desc("toxic"), "prefix").limit(MOST_CANDIDATES).collect()}
-    shipped = docs.sparkSession.sparkContext.broadcast((likely, starting))
-    contexts = (
-        rows.select("text", "toxic")
-        .mapInArrow(_count_contexts(shipped), "key string, context bigint, toxic int")
-        .distinct()
-        .groupBy("key")
-        .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    candidates = space.put(
+        sure.select(F.col("word").alias("key")).union(families.select(F.concat("prefix", F.lit("*")))), "candidates"
     )
+    contexts = _context_counts(rows, candidates, space, candidates_per_pass)
     is_prefix = F.col("key").endswith("*")
     enough = g >= F.when(is_prefix, SURE_PREFIX).otherwise(SURE_TERM)
-    proved = space.put(contexts.filter((share >= ONE_SIDED) & enough), "proved").orderBy(F.desc("toxic"), "key")
-    terms = {r["key"] for r in proved.filter(~is_prefix).limit(MOST_TERMS).collect()}
-    found = {r["key"][:-1] for r in proved.filter(is_prefix).limit(MOST_PREFIXES).collect()}
+    proved = space.put(contexts.filter((share >= ONE_SIDED) & enough), "proved")
+    keys = [r["key"] for r in proved.collect()]
+    terms = {k for k in keys if not k.endswith("*")}
+    found = {k[:-1] for k in keys if k.endswith("*")}
     prefixes = {p for p in found if not any(p[:n] in found for n in PREFIX_LENGTHS if n < len(p))}
     terms = {t for t in terms if not any(t[:n] in prefixes for n in PREFIX_LENGTHS)}
     lean = F.log((F.col("toxic") + 1) / (n_toxic + 2)) - F.log((F.col("clean") + 1) / (n_clean + 2))
@@ -290,7 +309,7 @@ def fit(
     table = (
         with_features(sample, model, "text").select("features", "toxic").toArrow()
     )
-    space.drop("train", "words", "proved")
+    space.drop("train", "words", "candidates", "contexts", "proved")
     features = np.array(table.column("features").to_pylist(), dtype=np.float64).reshape(-1, 7)
     model.weights = _logistic(features, np.array(table.column("toxic").to_pylist(), dtype=np.float64))
     return model
@@ -314,7 +333,7 @@ def _logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> n
 
 def with_features(docs: DataFrame, model: ToxicModel, text_col: str) -> DataFrame:
     """Replace the text column by the array ``features``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the limits above
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the lexicon that was proved
     rest = [c for c in docs.columns if c not in (text_col, "features")]
     kept = docs.select(*[F.col(f"`{c}`") for c in [*rest, text_col]])
     schema = kept.withColumn("features", F.array(F.lit(0.0))).drop(text_col).schema

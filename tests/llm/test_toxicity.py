@@ -89,3 +89,41 @@ def test_edges(spark):
     assert max(r.score for r in score(docs, never).collect()) < 1e-6
     nothing = fit(docs.limit(0), labels)
     assert score(docs, nothing).first().score == pytest.approx(0, abs=1e-6)
+
+
+def test_copied_texts_push_no_term_out(spark):
+    """More candidates than one pass takes, and rarer genuine terms among them."""
+    letters = "abcdefghij"
+
+    def name(i):
+        return "".join(letters[int(d)] for d in f"{i:05d}")
+
+    copied = [
+        (1000 * g + c, " ".join(f"copy{name(100 * g + k)}" for k in range(60)), 1) for g in range(45) for c in range(25)
+    ]
+    bad = [(90_000 + i, f"{name(i)} beastly {name(i + 500)} tone", 1) for i in range(22)]
+    good = [(95_000 + i, f"{name(i)} calm {name(i + 700)} words", 0) for i in range(1500)]
+    rows = [*copied, *bad, *good]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    whole = fit(docs, labels)
+    parts = fit(docs, labels, candidates_per_pass=500)
+    assert "beastly" in whole.terms and not any(t.startswith("copy") for t in whole.terms)
+    assert parts.terms == whole.terms and parts.prefixes == whole.prefixes
+
+
+def test_every_proved_term_is_kept(spark):
+    """2,100 terms, more than the lexicon once held."""
+    letters = "abcdefghij"
+
+    def name(i):
+        return "".join(letters[int(d)] for d in f"{i:05d}")[::-1]
+
+    terms = [f"{name(7 * k)}bad" for k in range(2100)]
+    bad = [(i, " ".join(f"{t} {name(i * 31 + k)}x" for k, t in enumerate(terms)), 1) for i in range(30)]
+    good = [(100 + i, f"calm words here {name(i)}", 0) for i in range(40)]
+    rows = [*bad, *good]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    learned = fit(docs, labels)
+    assert all(learned.kind(t) in (1, 2) for t in terms)
