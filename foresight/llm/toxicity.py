@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,12 +37,14 @@ BROADCAST_LABELS = 1_000_000
 #: How sure (G statistic) and how one-sided (share of toxic texts, at equal numbers) a term must be.
 SURE_TERM, SURE_PREFIX, ONE_SIDED = 25.0, 40.0, 0.9
 PREFIX_LENGTHS = (4, 5, 6, 7)
-#: Words on either side of a hit that are its context; letters on either side in which quotes count.
-WINDOW, QUOTE_WINDOW = 5, 60
+#: Words on either side of a hit that are its context.
+WINDOW = 5
 _CACHE = 500_000
 _FLUSH = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTES = "\"“”„«»"
+#: Which marks each mark closes; one that closes nothing opens.
+_CLOSES = {'"': '"', "“": "„", "”": "“„”", "„": "", "«": "»", "»": "«»"}
+_QUOTE = re.compile("[" + "".join(_CLOSES) + "\n]")
 _WORDS_AT_ONCE = 1 << 18
 
 
@@ -60,6 +63,31 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(opening, closing) places of the outermost quotations, in order; each lies on one line.
+
+    A mark closes the latest open one that it fits, and what was opened in between; a mark that
+    fits none opens, and one that is never closed quotes nothing.
+    """
+    found: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in _QUOTE.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        fits = [opened[q] for q in _CLOSES[mark] if q in opened]
+        if not fits:
+            opened.setdefault(mark, at)
+            continue
+        start = max(fits)
+        opened = {q: place for q, place in opened.items() if place < start}
+        while found and found[-1][0] >= start:
+            found.pop()
+        found.append((start, at))
+    return found
+
+
 @dataclass
 class ToxicModel:
     terms: set[str]
@@ -107,12 +135,15 @@ class ToxicModel:
                     around = words[max(0, place - WINDOW) : place] + words[place + 1 : place + 1 + WINDOW]
                     known = [self.context[w] for w in around if w in self.context]
                     lean.append(sum(known) / len(known) if known else 0.0)
-        if sum(counts) and any(q in low for q in _QUOTES):
+        quotes = quotations(low) if sum(counts) else []
+        if quotes:
             for m in _WORD.finditer(low):
                 kind = self.kind(m.group())
-                if kind and self._in_quotes(low, m.start(), m.end()):
-                    quoted += 1
-                    counts[kind] -= 1
+                if kind:
+                    place = bisect_right(quotes, (m.start(), len(low))) - 1
+                    if place >= 0 and m.start() < quotes[place][1]:
+                        quoted += 1
+                        counts[kind] -= 1
         plain = sum(counts[1:])
         return [
             *(math.log1p(c) for c in counts[1:]),
@@ -122,14 +153,6 @@ class ToxicModel:
             math.log1p(100 * plain / n_words) if n_words else 0.0,
         ]
 
-    @staticmethod
-    def _in_quotes(text: str, start: int, end: int) -> bool:
-        """A mark opens before the hit on its line and one closes behind it."""
-        left = text[max(0, start - QUOTE_WINDOW) : start].rpartition("\n")[2]
-        right = text[end : end + QUOTE_WINDOW].partition("\n")[0]
-        marks = sum(left.count(q) for q in _QUOTES)
-        return marks % 2 == 1 and any(q in right for q in _QUOTES)
-
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -30, 30)))
 
@@ -271,7 +294,7 @@ def fit(
         counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words"
     )
     g, share = _evidence(n_toxic, n_clean)
-    sure = words.filter((F.length("word") >= 4) & (share >= ONE_SIDED) & (g >= SURE_TERM))
+    sure = words.filter((share >= ONE_SIDED) & (g >= SURE_TERM))
     starts = F.array(
         *[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in PREFIX_LENGTHS]
     )

@@ -127,3 +127,29 @@ def test_every_proved_term_is_kept(spark):
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
     learned = fit(docs, labels)
     assert all(learned.kind(t) in (1, 2) for t in terms)
+
+
+def test_quotations_of_any_length():
+    m = model()
+
+    def counts(text):
+        found = m.features(text)
+        return found[0], found[3]
+
+    one, far = math.log1p(1), "calm words " * 40
+    assert counts(f'he said "{far}you nasty thing {far}" to her') == (0, one)
+    assert counts(f'"{far}" she said. you nasty thing {far}"{far}"') == (one, 0)
+    assert counts(f'"{far} one" nasty "two {far}"') == (one, 0)
+    assert counts(f"„{far}nasty {far}“ and «a “b” nasty» and “a 5\" nasty”") == (0, math.log1p(3))
+    assert counts('an "open mark, nasty') == counts('an "open mark\nnasty and" closed') == (one, 0)
+
+
+def test_short_words_become_terms(spark):
+    def name(i):
+        return "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+
+    rows = [(i, f"{name(i)} zub {name(i + 300)} 坏 {name(i + 600)} tone", 1) for i in range(60)]
+    rows += [(100 + i, f"{name(i)} calm {name(i + 300)} fox tone", 0) for i in range(180)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    learned = fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert {"zub", "坏"} <= learned.terms and "fox" not in learned.terms
