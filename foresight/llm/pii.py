@@ -1,6 +1,6 @@
 """Personal data: pattern spans, and terms that give protected values away, in DataFrame operations only.
 
-Patterns find values such as e-mail addresses. The words around a value are then judged by the
+Patterns find values such as e-mail addresses. The words of a value's texts are then judged by the
 whole corpus: from how many texts hold the word, the value, and both together follows the share of
 the value's information content that the word discloses (pointwise mutual information over
 information content). Terms above a threshold are generalised, those above a higher one removed.
@@ -15,8 +15,6 @@ from foresight.llm.workspace import Workspace
 
 KINDS = ["email", "ip", "card", "phone", "number", "term"]
 NUMBER, TERM = KINDS.index("number"), KINDS.index("term")
-#: Characters on either side of a value that its context takes in.
-CONTEXT = 64
 #: Texts that must hold term and value together before the corpus is believed.
 SUPPORT = 3
 #: Shares of a value's information content above which a term is generalised or removed.
@@ -35,25 +33,16 @@ _INNER = (
     r"\+[0-9]{1,3}[\x20-]?(?:\([0-9]{2,4}\)[\x20-]?)?[0-9]{3}[\x20-][0-9]{4}(?![0-9])"
     r"|(?<![0-9])[0-9]{14,19}(?![0-9])"
 )
-_WORD = r"\p{L}{4,}"
+_WORD = r"\p{L}+"
 _OCTET = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
 
 
 def _matches(text: Column, hits: Column, pattern: str) -> Column:
-    """Each match with the length of the gap before it and the text next to it on both sides."""
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.slice(gaps, 2, F.size(hits) + 1).alias("next"))
+    """Each match with the length of the gap before it."""
+    zipped = F.arrays_zip(hits.alias("hit"), F.split(text, pattern, -1).alias("gap"))
 
     def one(z: Column) -> Column:
-        before, after = F.char_length(z["gap"]), F.char_length(z["next"])
-        return F.struct(
-            z["hit"].alias("hit"),
-            before.alias("gap"),
-            F.when(before > CONTEXT, F.right(z["gap"], F.lit(CONTEXT))).otherwise(z["gap"]).alias("left"),
-            F.left(z["next"], F.lit(CONTEXT)).alias("right"),
-            (before > CONTEXT).alias("left_cut"),
-            (after > CONTEXT).alias("right_cut"),
-        )
+        return F.struct(z["hit"].alias("hit"), F.char_length(z["gap"]).alias("gap"))
 
     return F.when(F.size(hits) > 0, F.transform(F.slice(zipped, 1, F.size(hits)), one))
 
@@ -100,27 +89,15 @@ def _inner_numbers(hit: Column, base: Column) -> Column:
     return F.aggregate(zipped, start, step, lambda s: s["out"])
 
 
-def _context_words(side: Column, base: Column, cut_front: Column, cut_back: Column) -> Column:
-    """Lower-cased words of a context with their places; a word at a cut end may be half a word."""
-    words = F.regexp_extract_all(side, F.lit(_WORD), F.lit(0))
-    zipped = F.slice(
-        F.arrays_zip(words.alias("w"), F.split(side, _WORD, -1).alias("gap")), 1, F.size(words)
+def _word_places(texts: DataFrame) -> DataFrame:
+    """(row, term, start, end): every word in lower case."""
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    found = texts.filter(F.col("text").rlike(_WORD)).select("row", F.posexplode(_matches(F.col("text"), words, _WORD)))
+    so_far = Window.partitionBy("row").orderBy("pos")
+    end = F.sum(F.col("col.gap") + F.char_length("col.hit")).over(so_far).cast("bigint")
+    return found.withColumn("end", end).select(
+        "row", F.lower("col.hit").alias("term"), (F.col("end") - F.char_length("col.hit")).alias("start"), "end"
     )
-    at = "struct<at: int, out: array<struct<term: string, start: bigint, end: bigint>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(at)
-
-    def step(state: Column, z: Column) -> Column:
-        first = state["at"] + F.char_length(z["gap"])
-        end = first + F.char_length(z["w"])
-        half = (cut_front & (first == 0)) | (cut_back & (end == F.char_length(side)))
-        word = F.struct(
-            F.lower(z["w"]).alias("term"), (base + first).alias("start"), (base + end).alias("end")
-        )
-        return F.struct(
-            end.alias("at"), F.when(half, state["out"]).otherwise(F.concat(state["out"], F.array(word))).alias("out")
-        )
-
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,7 +107,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _base(numbered: DataFrame, space: Workspace, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows without texts, the valid base spans with contexts, and numbers in failed matches."""
+    """The rows without texts, the valid base spans, and numbers in failed matches."""
     hits = numbered.withColumns(
         {f"hits_{k}": F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     )
@@ -141,7 +118,7 @@ def _base(numbered: DataFrame, space: Workspace, keep: list[str]) -> tuple[DataF
             *[_matches(F.col("text"), F.col(f"hits_{k}"), p).alias(k) for k, p in PATTERNS.items()],
         ),
         "found",
-    )  # written once, so that row numbers hold for every reader
+    )
     kinds = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("order"), F.col(k).alias("m")) for i, k in enumerate(PATTERNS)]
     )
@@ -158,7 +135,7 @@ def _base(numbered: DataFrame, space: Workspace, keep: list[str]) -> tuple[DataF
         .withColumn("valid", _valid())
         .withColumn("entity", F.xxhash64("kind", F.lower("hit")))
     )
-    columns = ["row", "order", "start", "end", "entity", "left", "right", "left_cut", "right_cut"]
+    columns = ["row", "order", "start", "end", "entity"]
     failed = ~F.col("valid") & F.col("kind").isin("card", "phone")
     inner = F.when(failed, _inner_numbers(F.col("hit"), F.col("start")))
     judged = space.put(
@@ -178,53 +155,64 @@ def _base(numbered: DataFrame, space: Workspace, keep: list[str]) -> tuple[DataF
 def disclosing_terms(
     texts: DataFrame, base: DataFrame, space: Workspace, support: int, generalise: float, remove: float
 ) -> DataFrame:
-    """Spans of terms (row, start, end, action) whose disclosure of a neighbouring value is too high.
+    """Spans of terms (row, start, end, action) that disclose too much of a value of their text.
 
-    Counts are numbers of texts over the whole corpus. Pairs of term and value come from contexts
-    only, so there are a few for each value found; terms are counted in all texts.
+    All counts are numbers of texts over the whole corpus; words within e-mail addresses, the only
+    values with letters, do not count. Pairs are formed in texts of values and of terms that can
+    reach the thresholds at all: with n_both <= n_value the wanted share of the information
+    bounds n_term for each value. Every occurrence in a text that holds the value is marked.
     """
-    around = F.concat(
-        _context_words(F.col("left"), F.col("start") - F.char_length("left"), F.col("left_cut"), F.lit(False)),
-        _context_words(F.col("right"), F.col("end"), F.lit(False), F.col("right_cut")),
-    )
-    near = space.put(
-        base.select("row", "entity", F.explode(around).alias("w")).select("row", "entity", "w.*"), "near"
-    )
-    together = (
-        near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    held = space.put(base.select("row", "entity").distinct(), "held")
+    n_texts = F.lit(float(max(2, texts.count())))
+    content = F.log(n_texts / F.col("n_value"))
+    of_values = space.put(
+        held.groupBy("entity")
+        .agg(F.count("*").alias("n_value"))
+        .filter(F.col("n_value") >= support)
+        .withColumn("most", n_texts * F.exp(-F.lit(float(generalise)) * content) * (1 + 1e-9)),
+        "of-values",
     )
-    pairs = space.put(together.filter(F.col("n_both") >= support), "pairs")
-    terms = space.put(pairs.select("term").distinct(), "terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    able = space.put(held.join(of_values, "entity"), "able")
+    plain = F.regexp_replace(F.lower("text"), PATTERNS["email"], " ")
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)))
     counted = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    of_terms = counted.join(terms, "term")  # counted first: the join sees a row a word, not one a use
-    of_values = (
-        base.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_value"))
+    most = of_values.agg(F.max("most")).first()[0] or 0.0
+    of_terms = space.put(counted.filter((F.col("n_term") >= support) & (F.col("n_term") <= most)), "of-terms")
+    rows = space.put(able.groupBy("row").agg(F.max("most").alias("most")), "able-rows")
+    uses = texts.join(rows.select("row"), "row", "left_semi").select("row", F.explode(words).alias("term"))
+    near = space.put(uses.join(of_terms, "term"), "near")
+    pairs = (
+        near.join(able, "row")
+        .filter(F.col("n_term") <= F.col("most"))
+        .groupBy("entity", "term", "n_term", "n_value")
+        .agg(F.count("*").alias("n_both"))
+        .filter(F.col("n_both") >= support)
     )
-    n_texts = F.lit(float(max(2, texts.count())))
-    content = F.log(n_texts / F.col("n_value"))
     mutual = F.log(F.col("n_both") * n_texts / (F.col("n_term") * F.col("n_value")))
     disclosed = F.when(content > 0, mutual / content).otherwise(0.0)
     judged = space.put(
-        pairs.join(of_terms, "term")
-        .join(of_values, "entity")
-        .withColumn("disclosed", disclosed)
+        pairs.withColumn("disclosed", disclosed)
         .filter(F.col("disclosed") >= generalise)
         .select(
             "entity", "term", F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise").alias("action")
         ),
         "judged",
     )
-    return (
-        near.join(judged, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("action").alias("action"))
+    in_rows = space.put(
+        near.select("row", "term")
+        .join(held, "row")
+        .join(judged, ["entity", "term"])
+        .groupBy("row", "term")
+        .agg(F.max("action").alias("action")),
+        "in-rows",
     )
+    marked = texts.join(in_rows.select("row").distinct(), "row", "left_semi")
+    return _word_places(marked).join(in_rows, ["row", "term"]).select("row", "start", "end", "action")
 
 
 def _spans(numbered, space, keep, support, generalise, remove) -> tuple[DataFrame, DataFrame]:
     rows, base, numbers = _base(numbered, space, keep)
-    terms = disclosing_terms(numbered.select("text"), base, space, support, generalise, remove)
+    terms = disclosing_terms(numbered.select("row", "text"), base, space, support, generalise, remove)
     flat = (
         base.select("row", "start", "order", "end", F.lit("replace").alias("action"))
         .union(numbers.select("row", "start", F.lit(NUMBER).alias("order"), "end", F.lit("replace")))
@@ -233,6 +221,7 @@ def _spans(numbered, space, keep, support, generalise, remove) -> tuple[DataFram
     before = Window.partitionBy("row").orderBy("start", "order", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = flat.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     span = F.struct("start", "order", "end", "covered", "action")
+    covered = covered.filter((F.col("order") != TERM) | (F.col("end") > F.col("covered")))  # words within values
     by_row = covered.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return rows, by_row
 
@@ -258,15 +247,16 @@ def find(
     """One row per input row: ``id_col`` and ``spans`` (kind, start, end, action) by start and kind.
 
     Places are code points, ends exclusive. Base kinds are always found; kind ``number`` marks phone
-    and card numbers inside a run of digits that is too long to be one, kind ``term`` words near a
-    value that disclose ``generalise`` or more of it, in ``support`` texts or more. Null and
+    and card numbers inside a run of digits that is too long to be one, kind ``term`` words of a
+    value's texts that disclose ``generalise`` or more of it, in ``support`` texts or more. Null and
     empty texts give no spans, repeated rows are searched each on their own, an empty table gives an
     empty result, and other columns are ignored.
 
-    Texts are read twice and never shuffled; values found, their contexts and counts are.
+    Values found, words and counts are shuffled, and so may be texts that hold a value that others hold too.
     """
     space = Workspace(docs.sparkSession, "pii")
-    rows, by_row = _spans(_numbered(docs, id_col, text_col), space, ["id"], support, generalise, remove)
+    numbered = space.put(_numbered(docs, id_col, text_col), "numbered")  # row numbers hold for every reader
+    rows, by_row = _spans(numbered, space, ["id"], support, generalise, remove)
     none = F.expr("array()").cast(by_row.schema["spans"].dataType)
     return rows.join(by_row, "row", "left").select(
         F.col("id").alias(id_col), _named(F.coalesce("spans", none)).alias("spans")

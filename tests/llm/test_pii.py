@@ -102,3 +102,27 @@ def test_sanitised_texts(spark):
     cleaned = {r.doc_id: (r.text, r.extra) for r in sanitise(frame).collect()}
     assert cleaned[1] == (None, 2)
     assert cleaned[2][0] == "call [NUMBER] [NUMBER] or [PHONE]. +1 2 +(3)"
+
+
+def test_terms_far_from_the_value_and_all_their_places(spark):
+    """A name 300 characters away, a short one, and one that stands again far below."""
+    far = "as often said before " * 15
+    rows = [(i, f"Quimby {far} j.q@mail.org Bo {far} quimby {far} Bo, Quimbyish") for i in range(4)]
+    rows += [(10 + i, f"as often said before, someone{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in find(docs).collect()}
+    words = [rows[0][1][s.start : s.end] for s in found[0] if s.kind == "term" and s.action == "remove"]
+    assert words == ["Quimby", "Bo", "quimby", "Bo", "Quimbyish"]
+    assert not any(found[i] for i in range(10, 70))
+    cleaned = sanitise(docs).filter("doc_id < 4").collect()
+    assert len(cleaned) == 4 and all("uimby" not in r.text and "Bo" not in r.text for r in cleaned)
+
+
+def test_counts_are_of_whole_texts(spark):
+    """The term stands near the value in three of the six texts that hold both."""
+    far = "as often said before " * 15
+    rows = [(i, f"Quimby {far if i % 2 else ''} j.q@mail.org") for i in range(6)]
+    rows += [(10 + i, f"as often said before, someone{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = find(docs).filter("doc_id < 6").collect()
+    assert all([s.action for s in r.spans if s.kind == "term"] == ["remove"] for r in found)
