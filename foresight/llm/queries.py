@@ -3,6 +3,7 @@
 from foresight.llm import (  # noqa: F401
     q_bpe,
     q_langid,
+    q_merkle,
     q_mixing,
     q_pii,
     q_repeats,
