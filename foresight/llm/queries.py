@@ -10,6 +10,7 @@ from foresight.llm import (  # noqa: F401
     q_secrets,
     q_simhash,
     q_toxicity,
+    q_trie,
     q_vectors,
 )
 from foresight.llm.registry import QUERIES, SQL  # noqa: F401
