@@ -16,7 +16,7 @@ from foresight import contract
 from foresight.functions.dates import month_end_frame, month_ends
 from foresight.models.prep import churn_preprocessor, sales_preprocessor, scaling_statistics
 from foresight.operators import spine, support, usage
-from foresight.operators.leakage import leakage_report
+from foresight.operators.leakage import leakage_report, replay_leaks
 from foresight.operators.packing import pack_by_cutoff
 from foresight.plans.build import append_cohorts, build_snapshots, run_snapshot_job
 from foresight.session import ensure_checkpoint_dir
@@ -395,6 +395,65 @@ def e4(spark, sf):
     return leakage_report(spark, testbed.subscriptions(spark, sf))
 
 
+def _built(raw, cutoffs, shift_days: int = 0):
+    """The snapshot plan; ``shift_days`` plants a leak by dating usage back. No keys are hot here."""
+    usage = raw["feature_usage"]
+    shifted = usage.withColumn("usage_date", F.col("usage_date") - F.make_dt_interval(F.lit(shift_days)))
+    hot = {"usage": [], "tickets": [], "subscriptions": []}
+    return build_snapshots(raw["accounts"], raw["subscriptions"], shifted, raw["support_tickets"], cutoffs, hot=hot)
+
+
+@query(
+    "e4b_values_after_replay",
+    SNAPS
+    + "SELECT s.subscription_id, s.cutoff_date, 'account_age_days' AS column, s.account_age_days::VARCHAR AS stored,"
+    " NULL::VARCHAR AS replayed FROM snapshots s JOIN accounts a ON a.account_id = s.account_id"
+    " WHERE a.signup_date > s.cutoff_date::TIMESTAMP",
+)
+def e4b(spark, sf):
+    """All snapshots against a replay from what was known at each cutoff: what remains are the ages of
+    accounts that sign up after their first contract."""
+    return replay_leaks(testbed.raw(spark, sf), CUTOFFS, _built)
+
+
+PLANTED_DAYS, PLANTED_CUTOFFS = 7, [CUTOFFS[0], CUTOFFS[-1]]
+_PLANTED_AT = ", ".join(f"TIMESTAMP '{c}'" for c in PLANTED_CUTOFFS)
+
+
+@query(
+    "e4c_planted_leak",
+    with_(
+        RAW,
+        ACTIVE,
+        *[
+            f"""
+{kind}_sums AS (
+  SELECT a.subscription_id, a.cutoff_date, sum(u.usage_count)::DOUBLE AS used, sum(u.error_count)::DOUBLE AS errors
+  FROM active a JOIN usage u ON u.subscription_id = a.subscription_id
+    AND u.usage_date - INTERVAL {PLANTED_DAYS} DAY <= a.cutoff_date
+    AND u.usage_date - INTERVAL {PLANTED_DAYS} DAY >= a.cutoff_date - INTERVAL 28 DAY
+    AND u.usage_date - INTERVAL {PLANTED_DAYS} DAY >= a.start_date{known}
+  GROUP BY 1, 2)"""
+            for kind, known in (("told", ""), ("known", " AND u.usage_date <= a.cutoff_date"))
+        ],
+    )
+    + "SELECT t.subscription_id, t.cutoff_date::DATE::VARCHAR AS cutoff_date, 'usage_count_30d' AS column,"
+    " t.used AS stored, coalesce(k.used, 0.0::DOUBLE) AS replayed FROM told_sums t LEFT JOIN known_sums k"
+    " USING (subscription_id, cutoff_date) WHERE t.used <> coalesce(k.used, 0)"
+    f" AND t.cutoff_date IN ({_PLANTED_AT})"
+    " UNION ALL SELECT t.subscription_id, t.cutoff_date::DATE::VARCHAR, 'error_count_30d', t.errors,"
+    " coalesce(k.errors, 0.0::DOUBLE) FROM told_sums t LEFT JOIN known_sums k"
+    " USING (subscription_id, cutoff_date) WHERE t.errors <> coalesce(k.errors, 0)"
+    f" AND t.cutoff_date IN ({_PLANTED_AT})",
+)
+def e4c(spark, sf):
+    """A plan that dates usage back by a week sees a week of the future: the replay of the first and the last
+    cutoff finds every such value."""
+    leaks = replay_leaks(testbed.raw(spark, sf), PLANTED_CUTOFFS, lambda raw, cutoffs: _built(raw, cutoffs, PLANTED_DAYS))
+    shown = leaks.filter(F.col("column").isin("usage_count_30d", "error_count_30d"))
+    return shown.withColumns({c: F.col(c).cast("double") for c in ("stored", "replayed")})
+
+
 BY_CUTOFF = (
     "SELECT cutoff_date, count(*) AS row_count, sum(churn_next_30d)::BIGINT AS churners,"
     " sum(ticket_count_60d) AS ticket_total, sum(usage_count_30d) AS usage_total FROM snapshots GROUP BY 1"

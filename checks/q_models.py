@@ -13,13 +13,14 @@ from checks.testbed import CUTOFFS
 from foresight import contract
 from foresight.functions.labels import feature_drift_label, run_drift_label
 from foresight.functions.numbers import round_half_even
-from foresight.models.churn import ChurnModel, FittedChurnModel, margin
+from foresight.models.churn import FittedChurnModel, margin
 from foresight.models.sales import SalesModel
+from foresight.models.saved import fitted_churn
 from foresight.operators import drift, metrics, recourse
 from foresight.operators.outputs import prediction_table, run_notes, with_customer_id
 from foresight.operators.split import split_by_position, temporal_split
 from foresight.plans.score import publish, run_scoring_job, score_holdout
-from foresight.session import cut_lineage
+from foresight.session import cut_lineage, ensure_checkpoint_dir
 from foresight.sources.store import write_snapshots
 
 POPULATION = with_(RAW, ACTIVE, SCORED)
@@ -639,16 +640,11 @@ def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
     return temporal_split(cut_lineage(snapshots(spark, sf)))
 
 
-_fitted: dict[tuple[str, str], tuple[FittedChurnModel, DataFrame]] = {}
-
-
 def _churn(spark, sf) -> tuple[FittedChurnModel, DataFrame]:
-    """The churn model and its holdout. A fit takes minutes, so g4 to g6 look at one per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _fitted:
-        train, holdout = _split(spark, sf)
-        _fitted[key] = ChurnModel().fit(train, keys=["subscription_id", "cutoff_date"]), holdout
-    return _fitted[key]
+    """The churn model and its holdout; a model of the same rows and settings is stored state, not fitted anew."""
+    train, holdout = _split(spark, sf)
+    ensure_checkpoint_dir(spark)
+    return fitted_churn(train, f"{spark.sparkContext.getCheckpointDir()}/churn-models"), holdout
 
 
 @query("g4_tree_margins")
@@ -677,10 +673,82 @@ def g6(spark, sf):
     return scored.select("subscription_id", "cutoff_date", P)
 
 
-@query("g13_revenue_forecasts")
+#: Every category that the tables may hold; one that is absent has an all-zero column and weight zero.
+CATEGORIES = {
+    "industry": "SELECT DISTINCT c_mktsegment FROM customer",
+    "country": "SELECT DISTINCT n_name FROM nation",
+    "referral_source": "SELECT unnest(['organic', 'partner', 'ads', 'direct'])",
+    "plan_tier": "SELECT unnest(['Enterprise', 'professional', 'starter', 'Basic', 'growth'])",
+    "billing_frequency": "SELECT unnest(['annual', 'monthly'])",
+}
+_NUMBERS = [c for c in contract.SALES_NUMERIC]
+_FLAGS = list(contract.BOOLEAN)
+_FIRST_LABEL = 2 + len(_NUMBERS) + len(_FLAGS)
+
+
+def _long(side: str) -> str:
+    """(row, i, v) of the model matrix without its zeros: 1 is the intercept, then numbers, flags, labels."""
+    scaled = [
+        f"SELECT id, {i + 2} AS i, ({c} - (SELECT m FROM stats WHERE f = {i})) / (SELECT s FROM stats WHERE f = {i}) AS v FROM {side}"
+        for i, c in enumerate(_NUMBERS)
+    ]
+    flags = [f"SELECT id, {i + 2 + len(_NUMBERS)}, {c}::DOUBLE FROM {side}" for i, c in enumerate(_FLAGS)]
+    labels = [
+        f"SELECT id, l.i, 1.0::DOUBLE FROM {side} JOIN labels l ON l.name = '{c}' AND l.label = {c}" for c in CATEGORIES
+    ]
+    return f"SELECT id, 1 AS i, 1.0::DOUBLE AS v FROM {side} UNION ALL " + " UNION ALL ".join([*scaled, *flags, *labels])
+
+
+RIDGE = (
+    SNAPS.rstrip()
+    + f""",
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY subscription_id, cutoff_date) AS id FROM snapshots),
+last_train AS (SELECT max(cutoff_date) AS d FROM (SELECT DISTINCT cutoff_date FROM numbered ORDER BY 1 LIMIT {{cut}})),
+train AS MATERIALIZED (SELECT * FROM numbered WHERE cutoff_date <= (SELECT d FROM last_train)),
+holdout AS MATERIALIZED (SELECT * FROM numbered WHERE cutoff_date > (SELECT d FROM last_train)),
+stats AS MATERIALIZED ({" UNION ALL ".join(
+    f"SELECT {i} AS f, avg({c}) AS m, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s FROM train"
+    for i, c in enumerate(_NUMBERS)
+)}),
+labels AS MATERIALIZED (SELECT name, label, {_FIRST_LABEL} - 1 + row_number() OVER (ORDER BY name, label) AS i FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS name, label FROM ({q}) t(label)" for c, q in CATEGORIES.items())})),
+size AS (SELECT max(i) AS d FROM labels),
+long AS MATERIALIZED (SELECT * FROM ({_long("train")}) WHERE v <> 0),
+gram AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i AND a.i > 1 THEN 1.0 ELSE 0.0 END AS v
+  FROM long a JOIN long b ON b.id = a.id GROUP BY a.i, b.i
+  UNION ALL
+  SELECT l.i, (SELECT d FROM size) + 1, sum(l.v * t.future_mrr_30d) FROM long l JOIN train t ON t.id = l.id GROUP BY l.i),
+grid AS (
+  SELECT r.i, c.i AS j, coalesce(v, CASE WHEN r.i = c.i THEN 1.0 ELSE 0.0 END) AS v
+  FROM (SELECT unnest(range(1, (SELECT d FROM size) + 1)) AS i) r
+  CROSS JOIN (SELECT unnest(range(1, (SELECT d FROM size) + 2)) AS i) c LEFT JOIN gram g ON g.i = r.i AND g.j = c.i),
+solved AS (
+  SELECT 0 AS k, (SELECT list(r ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS r FROM grid GROUP BY i)) AS m
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE
+      WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1])
+      ELSE list_transform(r, lambda x, j: x - m[k + 1][j] * (r[k + 1] / m[k + 1][k + 1])) END)
+  FROM solved WHERE k < len(m)),
+weights AS MATERIALIZED (
+  SELECT unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda r: r[len(m) + 1])) AS w
+  FROM solved WHERE k = len(m)),
+asked AS (SELECT * FROM ({_long("holdout")}) WHERE v <> 0)
+"""
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "g13_revenue_forecasts",
+    RIDGE.format(cut=16)
+    + "SELECT subscription_id, cutoff_date, round_even(greatest(0.0, forecast), 1) AS predicted_sales FROM ("
+    " SELECT id, sum(v * w) AS forecast FROM asked JOIN weights USING (i) GROUP BY id) JOIN holdout USING (id)",
+)
 def g13(spark, sf):
+    """Forecasts of the ridge model; the twin builds and solves the same normal equations."""
     train, holdout = _split(spark, sf)
-    return SalesModel().fit(train, contract.SALES_TARGET).transform(holdout).select("subscription_id", "cutoff_date", FORECAST)
+    forecasts = SalesModel().fit(train, contract.SALES_TARGET).transform(holdout)
+    return forecasts.select("subscription_id", "cutoff_date", round_half_even(F.col(FORECAST), 1).alias(FORECAST))
 
 
 @query("k3_run_telemetry")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import testbed
@@ -11,6 +14,7 @@ from checks.sql import ACTIVE, DIRTY, LATEST, RAW, SCORED, SERVING, with_
 from foresight.operators import measures, quality, views
 from foresight.operators.outputs import with_customer_id
 from foresight.sources import store
+from foresight.sources.commits import CommittedTable
 
 BASE = with_(RAW, ACTIVE, SCORED, SERVING)
 TOP = with_(RAW, ACTIVE, SCORED, SERVING, LATEST)
@@ -126,20 +130,44 @@ def a10(spark, sf):
     return store.ingestion_summary(testbed.predictions(spark, sf))
 
 
-@query(
-    "a10b_stored_predictions",
+STORED = (
     BASE + "SELECT run_id, customer_id, subscription_id, churn_probability::DOUBLE AS churn_probability,"
-    " predicted_sales::DOUBLE AS predicted_sales FROM predictions",
+    " predicted_sales::DOUBLE AS predicted_sales FROM predictions"
 )
+STORED_COLUMNS = ["run_id", "customer_id", "subscription_id", "churn_probability", "predicted_sales"]
+
+
+def _runs(predictions: DataFrame) -> list[str]:
+    """The table's runs, one a month."""
+    return [r[0] for r in predictions.select("run_id").distinct().orderBy("run_id").collect()]
+
+
+@query("a10b_stored_predictions", STORED)
 def a10b(spark, sf):
-    path = scratch(spark)
-    runs = [f"run-1999-0{month}" for month in range(5, 10)]
-    for run in [*runs, runs[-1]]:  # a retry replaces the run
-        rows = testbed.predictions(spark, sf).filter(F.col("run_id") == run).drop("run_id")
+    path, predictions = scratch(spark), testbed.predictions(spark, sf)
+    runs = _runs(predictions)
+    for run in [*runs, *runs[-1:]]:  # a retry replaces the run
+        rows = predictions.filter(F.col("run_id") == run).drop("run_id")
         store.log_predictions(spark, run, rows, path)
-    return spark.read.parquet(path).select(
-        "run_id", "customer_id", "subscription_id", "churn_probability", "predicted_sales"
-    )
+    return spark.read.parquet(path).select(*STORED_COLUMNS)
+
+
+@query("a10c_committed_predictions", STORED)
+def a10c(spark, sf):
+    """Every run is staged and committed; the last one first fails half-way, then a stage is left without
+    its commit, then it is retried twice. Readers see the committed rows alone."""
+    table, predictions = CommittedTable(spark, scratch(spark)), testbed.predictions(spark, sf)
+    runs = _runs(predictions)
+    for run in runs:
+        rows = predictions.filter(F.col("run_id") == run).drop("run_id")
+        if run == runs[-1]:
+            broken = F.when(F.col("subscription_id") % 50 == 0, 1.5).otherwise(F.col("churn_probability").cast("double"))
+            with contextlib.suppress(ValueError):
+                table.append(run, rows.withColumn("churn_probability", broken))
+            table.stage(run, rows)
+            table.append(run, rows, token="last")
+        table.append(run, rows, token="last")
+    return table.read().select(*STORED_COLUMNS)
 
 
 # --- L: validation ---

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,78 @@ def _sketch(value: Column, probabilities: Sequence[float], accuracy: int) -> lis
     ]
 
 
+def as_arrays(columns: Sequence[Column]) -> Column:
+    """The columns of a row as one array of doubles; missing and NaN values are null."""
+    return F.array(*[F.nanvl(c.cast("double"), F.lit(None)) for c in columns])
+
+
+def rows_of(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    """An array column as a matrix, nulls as NaN."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _zone_counts(brackets: dict[int, tuple[np.ndarray, np.ndarray]], width: int):
+    """Rows per column and zone; inside a bracket also per value. One pass, nothing is unfolded before it is counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = rows_of(batch, "x", width)
+            found: list[tuple] = []
+            for i, (low, high) in brackets.items():
+                values = x[:, i]
+                values = values[~np.isnan(values)]
+                reached = np.searchsorted(low, values, side="right")
+                passed = np.searchsorted(high, values, side="left")
+                inside = reached > passed
+                zones = reached + passed
+                for zone, n in enumerate(np.bincount(zones[~inside])):
+                    if n:
+                        found.append((i, zone, None, int(n)))
+                kept, counts = np.unique(values[inside], return_counts=True)
+                own = np.searchsorted(low, kept, side="right") + np.searchsorted(high, kept, side="left")
+                found += zip([i] * len(kept), own.tolist(), kept.tolist(), counts.tolist(), strict=True)
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["column", "zone", "v", "c"]
+            )
+
+    return run
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[Column], probabilities: Sequence[float], group: str, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """``exact_quantiles`` of several columns of a row; ``group`` is a column's place.
+
+    The brackets (one row a column, from one wide aggregation) are looked up by binary search in a
+    second pass, which sends on only counts and the few values inside a bracket. A column without values
+    gives no row.
+    """
+    probs = [float(p) for p in probabilities]
+    rows = df.select(as_arrays(columns).alias("x"))
+    values = [F.get("x", F.lit(i)) for i in range(len(columns))]
+    sketches = column_sketches(rows, values, probs, group, accuracy)
+    found = sketches.collect()  # one row a column
+    brackets = {
+        r[group]: tuple(
+            np.sort([r[extreme]] * len(probs) if r["n"] < accuracy else r["sketch"][part])
+            for extreme, part in (("low", slice(None, len(probs))), ("high", slice(len(probs), None)))
+        )
+        for r in found
+    }
+    known = df.sparkSession.createDataFrame(
+        [(r[group], r["n"], r["low"], r["high"]) for r in found], f"{group} int, n bigint, low double, high double"
+    )
+    cells = rows.mapInArrow(_zone_counts(brackets, len(columns)), "column int, zone int, v double, c bigint")
+    counts = (
+        cells.groupBy(F.col("column").alias(group), "zone", "v")
+        .agg(F.sum("c").alias("c"))
+        .join(F.broadcast(known), group)
+    )
+    return _ranked_quantiles(counts, group, probs)
+
+
 def column_sketches(
     df: DataFrame, columns: Sequence[Column], probabilities: Sequence[float], group: str, accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:
@@ -97,7 +171,6 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     accuracy: int = SKETCH_ACCURACY,
-    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """``(group, n, low, high, quantiles)`` with linearly interpolated exact quantiles.
 
@@ -105,14 +178,12 @@ def exact_quantiles(
     brackets every quantile; one pass then counts the rows outside the brackets and keeps only the
     distinct values inside them (about ``6 / accuracy`` of the rows each), which are ranked per
     bracket. No task ever holds a whole column, unlike a value-to-count ``percentile`` buffer.
-    ``sketches`` may come from ``column_sketches``, which spares the first pass over single values.
     """
     probs = [float(p) for p in probabilities]
     indices = range(len(probs))
     numbers = F.nanvl(F.col(value).cast("double"), F.lit(None))  # NaN is a missing value
     values = df.select(group, numbers.alias("v")).filter(F.col("v").isNotNull())
-    if sketches is None:
-        sketches = values.groupBy(group).agg(*_sketch(F.col("v"), probs, accuracy))
+    sketches = values.groupBy(group).agg(*_sketch(F.col("v"), probs, accuracy))
     # Sketches have one row per group, hence the broadcasts below.
 
     def bracket(extreme: str, i: int) -> Column:
@@ -147,6 +218,12 @@ def exact_quantiles(
         )
         .agg(F.count("*").alias("c"))
     )
+    return _ranked_quantiles(counts, group, probs)
+
+
+def _ranked_quantiles(counts: DataFrame, group: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles from rows counted per zone: ``v`` is null between the brackets and the value inside one."""
+    indices, v = range(len(probs)), F.col("v")
     zones_before = Window.partitionBy(group).orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
     zones = (
         counts.groupBy(group, "zone")

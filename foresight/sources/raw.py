@@ -11,13 +11,7 @@ from foresight import contract
 from foresight.functions.flags import flag
 
 
-def read_raw(
-    spark: SparkSession, directory: str, table: str, fmt: str = "csv", suffix: str | None = None
-) -> DataFrame:
-    """One raw table with its declared schema; a missing path names the table.
-
-    CSV columns are matched by header name, so files may order or extend their columns freely.
-    """
+def _opened(spark: SparkSession, directory: str, table: str, fmt: str, suffix: str | None) -> DataFrame:
     path = f"{directory.rstrip('/')}/{table}{'.' + fmt if suffix is None else suffix}"
     try:
         if fmt == "csv":
@@ -26,7 +20,17 @@ def read_raw(
             found = spark.read.format(fmt).load(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"{table}: no {fmt} data at {path}") from error
-    return conform(found, table)
+    return found
+
+
+def read_raw(
+    spark: SparkSession, directory: str, table: str, fmt: str = "csv", suffix: str | None = None
+) -> DataFrame:
+    """One raw table with its declared schema; a missing path names the table.
+
+    CSV columns are matched by header name, so files may order or extend their columns freely.
+    """
+    return conform(_opened(spark, directory, table, fmt, suffix), table)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -84,3 +88,39 @@ def load_raw(
         )
         for name in contract.RAW_TABLES
     }
+
+
+def split_bad_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose values all fit the declared types, typed, and the others as they came.
+
+    A bad row keeps its raw columns and names the columns that do not fit in ``bad_columns``. Nulls are
+    no fault; neither are columns that the schema does not know. Both come from the same scan's columns,
+    without a shuffle.
+    """
+    schema = contract.RAW_TABLES[table]
+    optional = _OPTIONAL | (_OPTIONAL_IN_ACCOUNTS if table == "accounts" else set())
+    missing = [f.name for f in schema if f.name not in df.columns and f.name not in optional]
+    if missing:
+        raise ValueError(f"{table} lacks columns: {', '.join(missing)}")
+    present = [f for f in schema if f.name in df.columns]
+    typed = {f.name: _tried(df, f) for f in present}
+    faults = [F.when(F.col(n).isNotNull() & c.isNull(), F.lit(n)) for n, c in typed.items()]
+    marked = df.withColumn("bad_columns", F.array_compact(F.array(*faults)))
+    good = marked.filter(F.size("bad_columns") == 0).select(*[c.alias(n) for n, c in typed.items()])
+    return good, marked.filter(F.size("bad_columns") > 0)
+
+
+def _tried(df: DataFrame, field: T.StructField) -> Column:
+    """As ``_typed``, but null where a value does not fit."""
+    column = F.col(field.name)
+    if not (isinstance(field.dataType, T.IntegralType) and df.schema[field.name].dataType == T.StringType()):
+        return column.try_cast(field.dataType)
+    number = column.try_cast("decimal(38, 9)")
+    return F.when(number == F.floor(number), number).try_cast(field.dataType)
+
+
+def read_quarantined(
+    spark: SparkSession, directory: str, table: str, fmt: str = "csv", suffix: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``read_raw`` that sets bad rows aside instead of failing on them."""
+    return split_bad_rows(_opened(spark, directory, table, fmt, suffix), table)
