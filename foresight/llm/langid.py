@@ -125,7 +125,6 @@ def fit(
     )
     picked = (
         rows.filter((F.col("place") < edge[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
-        .limit(2 * texts_per_language * len(languages))  # far above what the threshold lets through
         .select("lang", "text")
         .mapInArrow(_gram_batches, "lang string, grams binary")
         .toArrow()
