@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foresight.llm.guarded import guarded
 from foresight.llm.workspace import Workspace
 from foresight.operators.ranking import with_row_number
 
@@ -207,8 +208,13 @@ def draw(
 ) -> DataFrame:
     """The mix itself: every input row as often as ``item_copies`` takes it, with all its columns.
 
-    Rows with null or empty texts hold no words and are not drawn. Texts are shuffled once.
+    Rows with null or empty texts hold no words and are not drawn; a null source is a source, rows of
+    one id, source and size are drawn alike, an empty table stays empty. Texts are shuffled once.
     """
+    return guarded(docs, [id_col, text_col, source_col], lambda d: _drawn(d, id_col, text_col, source_col, **options))
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, **options) -> DataFrame:
     items = item_copies(docs, id_col, text_col, source_col, **options)
     wanted = items.filter(F.col("copies") > 0).select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foresight.llm.guarded import guarded
 from foresight.llm.workspace import Workspace
 
 KINDS = ["email", "ip", "card", "phone", "number", "term"]
@@ -273,8 +274,13 @@ def sanitise(
     """The input with cleaned texts: values become their kind in brackets, terms a mark or nothing.
 
     Texts without spans come back as they are, null ones as null. Where spans overlap, the first one's
-    mark stands for all that they cover. Other columns pass through.
+    mark stands for all that they cover. Other columns pass through, whatever their names; repeated rows
+    are cleaned alike, an empty table stays empty.
     """
+    return guarded(docs, [text_col], lambda d: _cleaned(d, text_col, support, generalise, remove))
+
+
+def _cleaned(docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
     space = Workspace(docs.sparkSession, "pii")
     stored = space.put(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
     numbered = stored.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col("_row").alias("row"))

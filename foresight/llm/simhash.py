@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from foresight.llm.arrow import slices
 from foresight.llm.bktree import BKTree
 from foresight.llm.graph import Forest, components
+from foresight.llm.guarded import guarded
 from foresight.llm.units import UNIT_ROWS, in_units, units
 from foresight.llm.workspace import Workspace
 
@@ -178,9 +179,13 @@ def deduplicate(
 ) -> DataFrame:
     """The input with one row left of each component: that of the smallest id, rows without id last.
 
-    Of several rows with that id one stays. All columns pass through; texts are shuffled once at
-    most.
+    Of several rows with that id one stays. All columns pass through, whatever their names; texts are
+    shuffled once at most. Null texts have no words and are alike; an empty table stays empty.
     """
+    return guarded(docs, [id_col, text_col], lambda d: _first_rows(d, id_col, text_col, shingle, radius, unit_rows))
+
+
+def _first_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, unit_rows: int) -> DataFrame:
     space = Workspace(docs.sparkSession, "simhash")
     stored = space.put(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
     picked = stored.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "_row")
