@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from checks import testbed
+from checks import q_serving, testbed  # noqa: F401  the serving queries are registered first
 from checks.q_features import SNAPS, scratch, snapshots
 from checks.q_models import RECOURSE, THRESHOLD
-from checks.registry import query
+from checks.registry import QUERIES, SQL, query
 from checks.sql import ACTIVE, RAW, SCORED, SERVING, with_
 from foresight import contract
 from foresight.models.leafwise import MIN_GAIN, UNIT, LeafwiseLearner
@@ -303,3 +305,29 @@ def g4b(spark, sf):
         F.count("*").alias("leaf_rows"),
         F.lit(sum(f < 0 for f in trees.trees[0].feature)).alias("n_leaves"),
     )
+
+
+# --- Queries whose twins were interrupted so far, with twins whose steps are stored one by one ---
+
+
+def stepwise(statement: str) -> str:
+    """The same statement with every common table expression materialised."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", statement)
+
+
+def _again(name: str) -> None:
+    query(f"{name}_stepwise", stepwise(SQL[name]))(QUERIES[name])
+
+
+for _name in (
+    "c5_beta_ratio",
+    "c7_usage_velocity",
+    "c8_usage_features",
+    "g7_hard_labels",
+    "g14_non_negative_forecast",
+    "k2_prediction_table",
+    "l4_prepared_predictions",
+    "l6_decimal_overflow",
+    "m3b_tiers_without_threshold",
+):
+    _again(_name)

@@ -173,13 +173,13 @@ def serving(spark):
         "run_id string, model_version string, churn_auc double, sales_mape double, sales_rmse double,"
         " psi_score double, drift_flag boolean, test_sample_count int, risk_threshold double, created_at timestamp",
     )
-    telemetry = store._conform(quality.prepare_telemetry(runs), contract.MODEL_TELEMETRY)
+    telemetry = store.conform_columns(quality.prepare_telemetry(runs), contract.MODEL_TELEMETRY)
     levels = [0.25, 0.50, 0.75, 0.90]
     rows = prediction_rows(
         spark, *[{"churn_probability": p, "prescribed_risk_drop": d} for p in levels for d in (0.2, p)]
     )
     parts = [
-        store._conform(
+        store.conform_columns(
             quality.prepare_predictions(rows, run).withColumn("created_at", F.lit(datetime(2024, 3, 1))),
             contract.CUSTOMER_PREDICTIONS,
         )
