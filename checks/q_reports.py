@@ -5,20 +5,22 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from checks import q_serving, testbed  # noqa: F401  the serving queries are registered first
-from checks.q_features import SNAPS, scratch, snapshots
+from checks.q_features import SNAPS, raw_files, scratch, snapshots
 from checks.q_models import RECOURSE, THRESHOLD
 from checks.registry import QUERIES, SQL, query
 from checks.sql import ACTIVE, RAW, SCORED, SERVING, with_
 from foresight import contract
 from foresight.models.leafwise import MIN_GAIN, UNIT, LeafwiseLearner
-from foresight.operators import reconcile, reports
+from foresight.models.prep import churn_preprocessor, sales_preprocessor
+from foresight.operators import drift, reconcile, reports
 from foresight.operators.split import temporal_split
+from foresight.plans.build import run_snapshot_job
 from foresight.session import cut_lineage
-from foresight.sources.raw import read_quarantined
+from foresight.sources.raw import load_raw, read_quarantined
 
 BASE = with_(RAW, ACTIVE, SCORED, SERVING)
 
@@ -307,6 +309,116 @@ def g4b(spark, sf):
     )
 
 
+# --- Twins over whole rows and slots beside those over counts ---
+
+
+@query(
+    "a1b_raw_usage_rows",
+    with_(RAW)
+    + "SELECT subscription_id::VARCHAR AS subscription_id, usage_date, feature_name, usage_count, usage_duration_secs,"
+    " error_count, is_beta_feature FROM usage",
+)
+def a1b(spark, sf):
+    return load_raw(spark, raw_files(spark, sf), fmt="csv")["feature_usage"]
+
+
+@query(
+    "a1c_raw_contract_rows",
+    with_(RAW)
+    + "SELECT subscription_id::VARCHAR AS subscription_id, account_id::VARCHAR AS account_id, start_date, end_date,"
+    " plan_tier, seats, mrr_amount, arr_amount, is_trial, billing_frequency,"
+    " coalesce(auto_renew_flag, false) AS auto_renew_flag FROM subscriptions",
+)
+def a1c(spark, sf):
+    """Missing flags count as false; columns that the files lack stay away."""
+    return load_raw(spark, raw_files(spark, sf), fmt="csv")["subscriptions"]
+
+
+@query(
+    "e5b_snapshot_job_rows",
+    SNAPS
+    + "SELECT subscription_id::VARCHAR AS subscription_id, account_id::VARCHAR AS account_id, "
+    + ", ".join(c for c in contract.SNAPSHOT_COLUMNS if c not in ("subscription_id", "account_id"))
+    + " FROM snapshots",
+)
+def e5b(spark, sf):
+    """Every row of the table that the whole job saves."""
+    return run_snapshot_job(spark, raw_files(spark, sf), scratch(spark), testbed.CUTOFFS)
+
+
+def _slots_sql(numeric) -> str:
+    rows = [
+        f"SELECT '{c}' AS slot, round(sum(abs({c} - m) / s), 2) AS total FROM snapshots, (SELECT avg({c}) AS m,"
+        f" CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s FROM snapshots)"
+        for c in numeric
+    ]
+    rows += [
+        f"SELECT '{c}=' || coalesce({c}, '__NULL__'), count(*)::DOUBLE FROM snapshots GROUP BY 1" for c in contract.CATEGORICAL
+    ]
+    rows += [f"SELECT '{c}', sum({c})::DOUBLE FROM snapshots" for c in contract.BOOLEAN]
+    return SNAPS + " UNION ALL ".join(rows)
+
+
+def _slots(spark, sf, preprocessor):
+    """What each slot of the model matrix adds up to (numbers without their sign), by the slot's meaning."""
+    rows = cut_lineage(snapshots(spark, sf))
+    fitted = preprocessor.fit(rows)
+    indexer = fitted.encoder.stages[0]
+    labels = [f"{c}={label}" for c, found in zip(fitted.categorical, indexer.labelsArray, strict=True) for label in found]
+    names = [*fitted.statistics, *labels, *contract.BOOLEAN]
+    x = fitted.transform(rows).select(vector_to_array("features").alias("x"))
+    sums = x.agg(*[F.sum(F.abs(F.col("x")[i])).alias(f"s{i}") for i in range(len(names))], F.max(F.size("x")).alias("width"))
+    total = F.array(*[F.struct(F.lit(n).alias("slot"), F.round(f"s{i}", 2).alias("total")) for i, n in enumerate(names)])
+    complete = F.when(F.col("width") == len(names), total)  # no slot is left unnamed
+    return sums.select(F.explode(complete).alias("r")).select("r.*")
+
+
+@query("f2b_churn_matrix_slots", _slots_sql(contract.NUMERIC))
+def f2b(spark, sf):
+    return _slots(spark, sf, churn_preprocessor())
+
+
+@query("f4b_sales_matrix_slots", _slots_sql(contract.SALES_NUMERIC))
+def f4b(spark, sf):
+    return _slots(spark, sf, sales_preprocessor())
+
+
+@query(
+    "j4b_sides_of_missing_values",
+    """
+WITH base AS (SELECT c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0),
+target AS (SELECT c_acctbal AS v FROM customer WHERE c_custkey = 1),
+edges AS (
+  SELECT list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM base),
+inside AS (SELECT e[2:len(e) - 1] AS e, len(e) - 1 AS k FROM edges),
+counted AS (
+  SELECT len(list_filter(e, lambda x: x <= v)) AS bin, is_target
+  FROM (SELECT v, 0 AS is_target FROM base UNION ALL SELECT v, 1 FROM target), inside),
+shares AS (
+  SELECT bin, ((SELECT count(*) FROM counted c WHERE c.bin = b.bin AND is_target = 0) + 1e-4)
+      / ((SELECT count(*) FROM base) + k * 1e-4) AS p,
+    ((SELECT count(*) FROM counted c WHERE c.bin = b.bin AND is_target = 1) + 1e-4)
+      / ((SELECT count(*) FROM target) + k * 1e-4) AS q
+  FROM inside, (SELECT unnest(range(0, (SELECT k FROM inside))) AS bin) b)
+SELECT 'c_acctbal' AS feature, round(sum((q - p) * ln(q / p)), 4) AS psi FROM shares
+UNION ALL SELECT 'c_nothing', 0.0 UNION ALL SELECT 'c_one_sided', 0.0
+""",
+)
+def j4b(spark, sf):
+    """NaN and null are missing: half of one side, all but one row of the other, and a feature that is NaN throughout one."""
+    key, balance, nan = F.col("c_custkey"), F.col("c_acctbal").cast("double"), F.lit(float("nan"))
+    customers = testbed.table(spark, sf, "customer")
+    base = customers.select(
+        F.when(key % 2 == 0, balance).otherwise(nan).alias("c_acctbal"), nan.alias("c_nothing"), balance.alias("c_one_sided")
+    )
+    target = customers.select(
+        F.when(key == 1, balance).when(key % 3 == 0, nan).alias("c_acctbal"),
+        F.lit(None).cast("double").alias("c_nothing"),
+        nan.alias("c_one_sided"),
+    )
+    return drift.feature_psi(base, target, ["c_acctbal", "c_nothing", "c_one_sided"]).select("feature", "psi")
+
+
 # --- Queries whose twins were interrupted so far, with twins whose steps are stored one by one ---
 
 
