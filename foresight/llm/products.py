@@ -52,6 +52,30 @@ def _lengths(z: np.ndarray) -> np.ndarray:
         return np.sqrt(np.square(z / scale[:, None]).sum(axis=1)) * top
 
 
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without null or non-finite components, these down to multiples of 2**-BITS, and the rows' lengths."""
+    for batch in batches:
+        vectors = batch.column("x")
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = vectors.flatten()
+        bad = flat.is_null().to_numpy(zero_copy_only=False)
+        values = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        bad |= ~np.isfinite(values)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        keep = np.bincount(owner[bad], minlength=len(sizes)) == 0
+        values = values[keep[owner]]
+        # From 2^52 on every double is whole already.
+        large = np.abs(values) >= 2.0**52
+        whole = np.where(large, values, np.floor(np.where(large, 0.0, values) * 2.0**BITS) / 2.0**BITS)
+        offsets = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
+        z = pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole))
+        kept = batch.filter(pa.array(keep))
+        lengths = _lengths(_padded(z, int(sizes[keep].max(initial=0))))
+        yield pa.RecordBatch.from_arrays(
+            [kept.column("id"), kept.column("asks"), z, pa.array(lengths)], names=["id", "asks", "z", "length"]
+        )
+
+
 @dataclass
 class Rows:
     """Vectors of multiples of 2**-BITS with their rotated form and the lengths of what follows each head."""
@@ -259,16 +283,13 @@ def top_products(
     Cauchy-Schwarz bound of the rest decide which pairs are multiplied out.
     """
     space = Workspace(rows.sparkSession, "products")
-    vector = F.col(vector_col)
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(vector, lambda x: _floor(x.cast("double")))
-    usable = rows.filter(F.coalesce(~bad, F.lit(False))).select(
-        F.col(id_col).cast("bigint").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), whole.alias("z")
+    given = rows.filter(F.col(vector_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.coalesce(asks, F.lit(False)).alias("asks"),
+        F.col(vector_col).cast("array<double>").alias("x"),
     )
-    top = F.greatest(F.array_max(F.transform("z", F.abs)), F.lit(2.0**-BITS))
-    length = top * F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
-    order = [F.desc("length"), F.asc("id"), F.col("z")]
-    placed = with_row_number(usable.withColumn("length", length), order, "place")
+    usable = space.put(given.mapInArrow(_usable, "id bigint, asks boolean, z array<double>, length double"), "usable")
+    placed = with_row_number(usable, [F.desc("length"), F.asc("id"), F.col("z")], "place")
     sorted_rows = space.put(placed.withColumn("block", F.floor((F.col("place") - 1) / block_rows)), "rows")
     count, width, asked = sorted_rows.agg(F.count("*"), F.max(F.size("z")), F.count_if("asks")).first()
     if not asked:
@@ -299,12 +320,6 @@ def top_products(
     return _ranked(found, k, id_col)
 
 
-def _floor(x: Column) -> Column:
-    """Down to a multiple of 2^-BITS; from 2^52 on every double is whole already."""
-    large = F.abs(x) >= 2.0**52
-    return F.when(large, x).otherwise(F.floor(F.when(large, 0.0).otherwise(x) * 2.0**BITS) / 2.0**BITS)
-
-
 def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
     """At most ``k`` rows of a query and block come in."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "place")
