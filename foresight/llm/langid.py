@@ -32,11 +32,15 @@ _BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
+#: No letter is assigned from here on; the last entry of the table is what is no letter.
+_CODES = 0x32400
+
+
 @cache
 def _symbols() -> np.ndarray:
-    """Symbol of each character of the basic plane, upper and lower case alike."""
-    table = np.zeros(0x10000, dtype=np.uint32)
-    for code in range(0x10000):
+    """Symbol of each character up to the last letter of any plane, upper and lower case alike."""
+    table = np.zeros(_CODES + 1, dtype=np.uint32)
+    for code in range(_CODES):
         char = chr(code)
         if char.isalpha():
             low = ord(char.lower()[0])
@@ -49,7 +53,7 @@ def grams(text: str, seen: np.ndarray) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     for start in range(0, len(codes), _BLOCK):
         block = codes[max(0, start - 2) : start + _BLOCK]
-        s = _symbols()[np.minimum(block, 0xFFFF)]
+        s = _symbols()[np.minimum(block, _CODES)]
         seen[s] = True
         pairs = s[:-1] * SYMBOLS + s[1:]
         seen[SYMBOLS + pairs] = True

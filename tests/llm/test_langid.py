@@ -60,3 +60,16 @@ def test_edges(spark):
     assert {r.lang_pred for r in predict(docs, fit(docs.filter("doc_id = 5"))).collect()} == {"und"}
     assert predict(docs.limit(0), nothing).count() == 0
     assert docs.filter(held_out("doc_id", 5, 0)).filter("doc_id is null").count() == 1
+
+
+def test_letters_of_every_plane_count(spark):
+    """Deseret and Adlam lie above the basic plane, and so does much of Han."""
+    seen = np.zeros(GRAMS, dtype=bool)
+    for text in ("𐐀𐐁𐐂𐐃𐐄𐐅", "𞤀𞤁𞤂𞤃𞤄𞤅", "𠀀𠀁𠀂𠀃𠀄"):
+        assert (grams(text, seen) > 0).any()
+    assert grams("𐐀𐐁", seen).tolist() == grams("𐐨𐐩", seen).tolist()
+    assert grams("😀😀😀", seen).tolist() == grams("...", seen).tolist()
+    rows = [(i, "𐐀𐐁𐐂 𐐃𐐄𐐅 𐐆𐐇"[i % 3 :], "dsrt") for i in range(6)]
+    rows += [(10 + i, "𞤀𞤁𞤂 𞤃𞤄𞤅 𞤆𞤇"[i % 3 :], "adlm") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in predict(docs, fit(docs)).collect())
