@@ -11,6 +11,7 @@ class Trie:
     def __init__(self, terms: Iterable[tuple[str, int]]) -> None:
         self.root: dict = {}
         self.most = 0
+        self.depth = 0
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
         self.middles: set[str] = set()
@@ -21,6 +22,7 @@ class Trie:
                 node = node.setdefault(char, {})
             node[None] = allowed
             self.most = max(self.most, allowed)
+            self.depth = max(self.depth, len(term))
 
     def _note_pieces(self, term: str, pieces: int) -> None:
         """Of one piece more than edits are allowed, one is left whole: the first, the last or one between."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -22,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from foresight.llm.arrow import slices
 from foresight.llm.levenshtein import Trie
 from foresight.llm.workspace import Workspace
 
 #: Candidates whose contexts are counted in one pass over the texts; more take more passes.
 CANDIDATES_PER_PASS = 100_000
-#: Bounds of what the driver learns besides the lexicon: context words, rows of the regression.
-MOST_CONTEXT = 5000
+#: About as many texts fit the regression.
 FIT_ROWS = 20_000
-#: Labelled ids (12 bytes each) that may be broadcast.
-BROADCAST_LABELS = 1_000_000
+#: Slots that all words share by hash; each holds how its words lean. The table has this size in every corpus.
+CONTEXT_SLOTS = 1 << 18
+#: Texts that a slot is taken to have seen at the labels' own rate before any is counted.
+PRIOR_TEXTS = 10.0
 #: How sure (G statistic) and how one-sided (share of toxic texts, at equal numbers) a term must be.
 SURE_TERM, SURE_PREFIX, ONE_SIDED = 25.0, 40.0, 0.9
 PREFIX_LENGTHS = (4, 5, 6, 7)
@@ -88,11 +89,21 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return found
 
 
+@dataclass(frozen=True)
+class Leans:
+    """How the words of each slot lean: above 0 where toxic texts hold them more often. Every word has a slot."""
+
+    slots: np.ndarray
+
+    def get(self, word: str) -> float:
+        return float(self.slots[zlib.crc32(word.encode()) % len(self.slots)])
+
+
 @dataclass
 class ToxicModel:
     terms: set[str]
     prefixes: set[str]
-    context: dict[str, float]
+    context: Leans | dict[str, float]
     weights: np.ndarray  # intercept first
     _trie: Trie | None = field(default=None, repr=False)
     _known: dict[str, int] = field(default_factory=dict, repr=False)
@@ -114,10 +125,10 @@ class ToxicModel:
             return 1
         if any(word[:n] in self.prefixes for n in PREFIX_LENGTHS):
             return 2
-        if not 4 <= len(word) <= 40:
-            return 0
         if self._trie is None:
             self._trie = Trie((t, allowed_edits(t)) for t in sorted(self.terms))
+        if len(word) > self._trie.depth + self._trie.most:
+            return 0  # no term is as near as that
         return 3 if self._trie.distance(word) is not None else 0
 
     def features(self, text: str | None) -> list[float]:
@@ -133,7 +144,8 @@ class ToxicModel:
                 if word in hits:
                     counts[self.kind(word)] += 1
                     around = words[max(0, place - WINDOW) : place] + words[place + 1 : place + 1 + WINDOW]
-                    known = [self.context[w] for w in around if w in self.context]
+                    known = [self.context.get(w) for w in around if w not in hits]
+                    known = [x for x in known if x is not None]
                     lean.append(sum(known) / len(known) if known else 0.0)
         quotes = quotations(low) if sum(counts) else []
         if quotes:
@@ -175,7 +187,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables[1].clear()
         return out
 
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             own: set[str] = set()
             for words in _words((text or "").lower()):
@@ -191,8 +203,17 @@ def _count_contexts(candidates):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, prefixes = candidates.value
-        for batch in batches:
-            rows: set[tuple[str, int, int]] = set()
+        rows: set[tuple[str, int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)],
+                names=["key", "context", "toxic"],
+            )
+
+        for batch in slices(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 for words in _words((text or "").lower()):
                     keys = {w: [w] if w in terms else [] for w in set(words)}
@@ -203,11 +224,9 @@ def _count_contexts(candidates):
                             around = f"{words[place - 1] if place else ''} {words[place + 1] if place + 1 < len(words) else ''}"
                             mark = int.from_bytes(blake2b(around.encode(), digest_size=8).digest(), "little", signed=True)
                             rows.update((key, mark, toxic) for key in keys[word])
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)],
-                names=["key", "context", "toxic"],
-            )
+                            if len(rows) > _FLUSH:
+                                yield flush()
+        yield flush()
 
     return run
 
@@ -251,7 +270,8 @@ def _evidence(n_toxic: int, n_clean: int) -> tuple[Column, Column]:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, text, toxic): labelled texts; an id with several labels is toxic if at least half say so.
 
-    Up to ``BROADCAST_LABELS`` labelled ids, counted first, go to the texts; more are joined by shuffles.
+    Texts and labels meet by id in one merge join at every size, so nothing is broadcast and the work is one
+    shuffle of the texts; AQE splits an id that many texts carry, since each id has one label row.
     """
     marks = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -259,8 +279,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("toxic"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return texts.join(F.broadcast(marks) if few else marks, "id")
+    return texts.join(marks.hint("merge"), "id")
 
 
 def fit(
@@ -277,8 +296,9 @@ def fit(
     Word counts cover all of them, in two rounds: words and beginnings that many more toxic texts hold
     are candidates, and they are proved by the number of different neighbouring words. A text that is
     copied a thousand times brings each word in one context only. Every candidate is tried, in as many
-    passes as they take, and every proved one is kept. The regression takes about ``fit_rows``, picked by the hash of the
-    id. Null and empty texts count as texts without words. With one label only, or none at all, every
+    passes as they take, and every proved one is kept. Context is how words of all kinds lean, by slots
+    that words share by hash. The regression takes about ``fit_rows`` texts, picked by the hash of id and
+    text; equal ones count together. Null and empty texts count as texts without words. With one label only, or none at all, every
     score is that label's rate (0 without labels).
     """
     space = Workspace(docs.sparkSession, "toxicity")
@@ -316,37 +336,44 @@ def fit(
     found = {k[:-1] for k in keys if k.endswith("*")}
     prefixes = {p for p in found if not any(p[:n] in found for n in PREFIX_LENGTHS if n < len(p))}
     terms = {t for t in terms if not any(t[:n] in prefixes for n in PREFIX_LENGTHS)}
-    lean = F.log((F.col("toxic") + 1) / (n_toxic + 2)) - F.log((F.col("clean") + 1) / (n_clean + 2))
-    common = (
-        words.withColumn("lean", lean)
-        .orderBy(F.desc(F.col("toxic") + F.col("clean")), "word")
-        .limit(MOST_CONTEXT)
-        .collect()
-    )
-    context = {r["word"]: r["lean"] for r in common if r["word"] not in terms}
-    model = ToxicModel(terms, prefixes, context, np.zeros(8))
+    model = ToxicModel(terms, prefixes, _leans(words, proved, n_toxic, n_clean), np.zeros(8))
     share_taken = min(1.0, fit_rows / sums["n"])
     sample = rows.filter(
-        F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share_taken * (1 << 30)) + 1
-    )
-    table = (
-        with_features(sample, model, "text").select("features", "toxic").toArrow()
+        F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) < int(share_taken * (1 << 30)) + 1
     )
+    table = with_features(sample, model, "text").groupBy("features", "toxic").agg(F.count("*").alias("n")).toArrow()
     space.drop("train", "words", "candidates", "contexts", "proved")
     features = np.array(table.column("features").to_pylist(), dtype=np.float64).reshape(-1, 7)
-    model.weights = _logistic(features, np.array(table.column("toxic").to_pylist(), dtype=np.float64))
+    order = np.lexsort(features.T)
+    model.weights = _logistic(features[order], table.column("toxic").to_numpy()[order], table.column("n").to_numpy()[order])
     return model
 
 
-def _logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method with a small ridge on all but the intercept."""
+def _leans(words: DataFrame, proved: DataFrame, n_toxic: int, n_clean: int) -> Leans:
+    """Log odds of each slot against the labels' own, drawn to 0 where few texts are counted; terms take no part."""
+    counts = (
+        words.join(proved.select(F.col("key").alias("word")), "word", "left_anti")
+        .groupBy((F.crc32("word") % CONTEXT_SLOTS).cast("int").alias("slot"))
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .toArrow()
+    )
+    toxic, clean = np.zeros(CONTEXT_SLOTS), np.zeros(CONTEXT_SLOTS)
+    slots = counts.column("slot").to_numpy()
+    toxic[slots], clean[slots] = counts.column("toxic").to_numpy(), counts.column("clean").to_numpy()
+    rate = n_toxic / (n_toxic + n_clean)
+    odds = (toxic + PRIOR_TEXTS * rate) / (clean + PRIOR_TEXTS * (1 - rate))
+    return Leans(np.log(odds * (1 - rate) / rate).astype(np.float32))
+
+
+def _logistic(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method with a small ridge on all but the intercept; a row counts as often as it occurs."""
     x = np.column_stack([np.ones(len(features)), features])
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + penalty @ w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + penalty
+        slope = x.T @ (counts * (p - labels)) + penalty @ w
+        curve = (x * (counts * p * (1 - p))[:, None]).T @ x + penalty
         move = np.linalg.solve(curve, slope)
         w -= move
         if np.abs(move).max() < 1e-6:

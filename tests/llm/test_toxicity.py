@@ -153,3 +153,72 @@ def test_short_words_become_terms(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     learned = fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
     assert {"zub", "坏"} <= learned.terms and "fox" not in learned.terms
+
+
+def test_fit_equals_brute_force(spark):
+    """Candidates, proof by contexts, lexicon and leans of a small corpus, told word by word."""
+    rng = random.Random(5)
+    common = [f"wo{c}{d}" for c in "abcdefghij" for d in "abcdefghij"]
+    bad_words = ["beastly", "zub", "awfula", "awfulb", "awfulc", "awfuld", "n" * 50]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 4 == 0)
+        words = [rng.choice(common) for _ in range(rng.randint(0, 30))]
+        for _ in range(2 * toxic):
+            words.insert(rng.randint(0, len(words)), rng.choice(bad_words))
+        rows.append((i, " ".join(words), toxic))
+    rows += [(1000 + i, "copied peculiar words", 1) for i in range(40)] + [(2000, None, 0), (2000, "x", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows if i != 2000] + [(2000, 0)], "doc_id long, toxic int")
+    learned = fit(docs, labels, candidates_per_pass=3)
+
+    n = [sum(x == label for *_, x in rows) for label in (0, 1)]
+
+    def evidence(toxic, clean):
+        base = n[1] / sum(n)
+        g = 2 * sum(
+            x * math.log(x / ((toxic + clean) * p)) for x, p in ((toxic, base), (clean, 1 - base)) if x
+        )
+        return g, toxic / n[1] / (toxic / n[1] + clean / n[0])
+
+    holds, family, contexts = {}, {}, {}
+    for _, text, toxic in rows:
+        for word in set((text or "").split()):
+            holds.setdefault(word, [0, 0])[toxic] += 1
+    for word, (clean, toxic) in holds.items():
+        for k in (4, 5, 6, 7):
+            if len(word) > k:
+                own = family.setdefault(word[:k], [0, 0, 0])
+                own[0], own[1], own[2] = own[0] + clean, own[1] + toxic, own[2] + 1
+    wanted = {w for w, (c, t) in holds.items() if evidence(t, c)[1] >= 0.9 and evidence(t, c)[0] >= 25}
+    starts = {p for p, (c, t, m) in family.items() if m >= 3 and evidence(t, c)[1] >= 0.9 and evidence(t, c)[0] >= 40}
+    for _, text, toxic in rows:
+        words = (text or "").split()
+        for place, word in enumerate(words):
+            around = (words[place - 1] if place else "", words[place + 1] if place + 1 < len(words) else "")
+            for key in [word] * (word in wanted) + [p + "*" for p in starts if word.startswith(p) and word != p]:
+                contexts.setdefault(key, set()).add((around, toxic))
+    proved = set()
+    for key, seen in contexts.items():
+        toxic = sum(x for _, x in seen)
+        g, share = evidence(toxic, len(seen) - toxic)
+        if share >= 0.9 and g >= (40 if key.endswith("*") else 25):
+            proved.add(key)
+    found = {k[:-1] for k in proved if k.endswith("*")}
+    prefixes = {p for p in found if not any(p != q and p.startswith(q) for q in found)}
+    terms = {k for k in proved if not k.endswith("*") and not any(k.startswith(p) for p in prefixes)}
+    assert learned.terms == terms and learned.prefixes == prefixes
+    assert {"zub", "n" * 50} <= terms and "awfu" in prefixes and "peculiar" not in terms
+    assert learned.kind("n" * 48) == 3 and learned.kind("n" * 47) == 0
+
+    size, slots = len(learned.context.slots), {}
+    for word, (clean, toxic) in holds.items():
+        if word not in proved:
+            own = slots.setdefault(zlib.crc32(word.encode()) % size, [0, 0])
+            own[0], own[1] = own[0] + clean, own[1] + toxic
+    rate = n[1] / sum(n)
+    for word in holds:
+        clean, toxic = slots.get(zlib.crc32(word.encode()) % size, (0, 0))
+        lean = math.log((toxic + 10 * rate) / (clean + 10 * (1 - rate))) - math.log(rate / (1 - rate))
+        assert learned.context.get(word) == pytest.approx(lean, abs=1e-5)
+    assert learned.context.get("neverseenword") == pytest.approx(0, abs=1e-6)
