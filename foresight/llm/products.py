@@ -240,7 +240,8 @@ def _moments(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            z = _padded(batch.column("z"), max(width, 1))[:, :width]
+            sizes = batch.column("z").value_lengths().to_numpy(zero_copy_only=False)
+            z = _padded(batch.column("z"), max(width, int(sizes.max(initial=0))))[:, :width]
             top = _lengths(z)
             unit = z[(top > 0) & np.isfinite(top)] / top[(top > 0) & np.isfinite(top), None]
             total += unit.T @ unit
@@ -307,11 +308,12 @@ def top_products(
         "place bigint, id bigint, z array<double>, threshold double, until bigint",
     )
     slices = math.ceil(asked / query_rows)
-    right = opened.withColumn("slice", F.pmod(F.xxhash64("place"), F.lit(slices))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.least("until", F.lit(blocks - 1))))
+    # Keys of one type on both sides: an int and a bigint hash differently, and their groups would never meet.
+    right = opened.withColumn("slice", F.pmod(F.xxhash64("place"), F.lit(slices)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("until", F.lit(blocks - 1).cast("bigint"))))
     )
     every_slice = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    left = sorted_rows.select("place", "id", "z", "block", every_slice.alias("slice"))
+    left = sorted_rows.select("place", "id", "z", F.col("block").cast("bigint"), every_slice.alias("slice"))
     found = (
         left.groupBy("block", "slice")
         .cogroup(right.groupBy("block", "slice"))

@@ -42,6 +42,26 @@ def test_equals_brute_force(spark, block_rows):
     assert run(spark, rows, block_rows=block_rows, query_rows=32) == brute(rows, 5, 5)
 
 
+def test_groups_meet_in_many_partitions(spark):
+    """Both sides' keys hash alike: without merged shuffle partitions every block still meets its queries."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * rng.exponential()).tolist()) for i in range(300)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        for sizes in ({}, {"block_rows": 16, "query_rows": 7}):
+            assert run(spark, rows, **sizes) == brute(rows, 5, 5)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_vectors_longer_than_the_rotation(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=530).tolist()) for i in range(20)]
+    assert run(spark, rows) == brute(rows, 5, 5)
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [1.0, -2.0, 0.5]), (5, None), (10, [1.0, None, 0.0]), (15, [float("nan"), 0.0, 0.0]),
