@@ -248,3 +248,34 @@ def test_scoring_job_to_published_run(spark, snapshot, tmp_path):
         spark.read.parquet(f"{tmp_path}/predictions"), spark.read.parquet(f"{tmp_path}/telemetry")
     )
     assert latest.count() == 60
+
+
+def test_snapshots_are_gathered(spark, snapshot, tmp_path):
+    """Few files a cutoff from many tasks, null and repeated cutoffs included; no draft is left behind."""
+    odd = snapshot.withColumn("cutoff_date", F.to_date("cutoff_date"))
+    gap = odd.limit(5).withColumn("cutoff_date", F.lit(None).cast("date"))
+    rows = odd.union(odd).union(gap).repartition(60).persist()
+    path = str(tmp_path / "snapshots")
+    store.write_snapshots(rows, path)
+    saved = store.read_snapshots(spark, path)
+    assert sorted(map(str, saved.collect())) == sorted(map(str, rows.select(*saved.columns).collect()))
+    folders = [f for f in (tmp_path / "snapshots").iterdir() if f.is_dir()]
+    assert len(folders) == 3 and all(len(list(f.glob("*.parquet"))) <= 20 for f in folders)
+    assert [f.name for f in tmp_path.iterdir()] == ["snapshots"]
+
+
+def test_rows_of_a_contract_stay_neighbours(spark, tmp_path):
+    """Gathering by a shuffle scatters neighbours, which then no longer pack well."""
+    rows = spark.range(0, 60_000, numPartitions=4).selectExpr(
+        "concat('s', id div 6) AS subscription_id", "date_add(date'2024-01-31', cast(id % 6 as int)) AS cutoff_date"
+    )
+    store.write_snapshots(rows, str(tmp_path / "t"))
+    for day in (tmp_path / "t").glob("cutoff_date=*"):
+        files = [[int(r[0][1:]) for r in spark.read.parquet(str(f)).collect()] for f in day.glob("*.parquet")]
+        assert sum(map(len, files)) == 10_000
+        assert sum(b != a + 1 for keys in files for a, b in zip(keys, keys[1:])) <= 3
+
+
+def test_no_rows_leave_no_draft(spark, snapshot, tmp_path):
+    store.write_snapshots(snapshot.limit(0), str(tmp_path / "none"))
+    assert [f.name for f in tmp_path.iterdir()] == ["none"]
