@@ -19,7 +19,7 @@ from foresight.models.prep import churn_preprocessor, sales_preprocessor
 from foresight.operators import drift, reconcile, reports
 from foresight.operators.split import temporal_split
 from foresight.plans.build import run_snapshot_job
-from foresight.session import cut_lineage
+from foresight.session import cut_lineage, stored
 from foresight.sources.raw import load_raw, read_quarantined
 
 BASE = with_(RAW, ACTIVE, SCORED, SERVING)
@@ -155,7 +155,8 @@ def k5(spark, sf):
 )
 def i1(spark, sf):
     """What the actions change over all holdout snapshots; a damaged action also sells seats."""
-    rows = snapshots(spark, sf).filter(F.col("cutoff_date") >= F.lit(testbed.HOLDOUT_START).cast("date"))
+    holdout = F.col("cutoff_date") >= F.lit(testbed.HOLDOUT_START).cast("date")
+    rows = stored(snapshots(spark, sf).filter(holdout))  # one reader a report
 
     def overselling(df):
         more = F.when(F.col("subscription_id") % 101 == 0, F.col("seats") + 1).otherwise(F.col("seats"))
@@ -361,7 +362,7 @@ def _slots_sql(numeric) -> str:
 
 def _slots(spark, sf, preprocessor):
     """What each slot of the model matrix adds up to (numbers without their sign), by the slot's meaning."""
-    rows = cut_lineage(snapshots(spark, sf))
+    rows = stored(snapshots(spark, sf))
     fitted = preprocessor.fit(rows)
     indexer = fitted.encoder.stages[0]
     labels = [f"{c}={label}" for c, found in zip(fitted.categorical, indexer.labelsArray, strict=True) for label in found]
