@@ -122,3 +122,13 @@ def test_default_calendar_split_is_16_to_5(spark):
     df = spark.createDataFrame([(str(c)[:10],) for c in month_ends()], "cutoff_date string")
     train, rest = temporal_split(df)
     assert (train.count(), rest.count()) == (16, 5)
+
+
+def test_stored_frames_are_built_once(spark):
+    """Readers of a stored frame see one build, and a reader of one column reads no other."""
+    from foresight.session import stored
+
+    built = stored(spark.range(100).selectExpr("id", "rand() AS r", "cast(id AS string) AS s"))
+    assert built.agg({"r": "sum"}).first() == built.agg({"r": "sum"}).first()
+    plan = built.select("id").filter("id > 90")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,90)" in plan
