@@ -26,6 +26,8 @@ ROTATED = 512
 HEADS = (0.125, 0.375)
 #: Pairs, and candidates by queries, that are looked at together; few candidates as long as there is no threshold.
 PAIRS, FIRST_CHUNK, CHUNK, BATCH = 1 << 14, 32, 512, 1024
+#: Share of surviving pairs from which a whole matrix product is cheaper than the pairs one by one.
+DENSE = 0.05
 #: What rounding may add to a bound, as a share of the product of lengths.
 SLACK = 1e-10
 LIMIT = (1 << 63) - 1
@@ -112,14 +114,33 @@ def heads(width: int) -> list[int]:
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row by row inner products of the whole numbers, without rounding; kept within a long."""
-    with np.errstate(over="ignore"):
-        largest = np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) * q.shape[1]
-    if largest < 2.0 ** (53 - 2 * BITS):
+    if _fits(q, c):
         return (np.einsum("ij,ij->i", q, c) * 4.0**BITS).astype(np.int64)
     sums = [sum(_whole(x) * _whole(y) for x, y in zip(a, b, strict=True)) for a, b in zip(q, c, strict=True)]
     return np.array([max(-LIMIT, min(LIMIT, s)) for s in sums], dtype=np.int64)
 
 
+def _fits(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether a double holds every sum of products exactly, in whatever order it is taken."""
+    with np.errstate(over="ignore"):
+        return bool(np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) * q.shape[1] < 2.0 ** (53 - 2 * BITS))
+
+
+def _scored(q: Rows, c: Rows, asked: np.ndarray, part: slice, rows, columns, threshold: np.ndarray):
+    """The pairs with their exact products; where doubles hold them, without those below the threshold."""
+    fits = _fits(q.z[asked], c.z[part])
+    if fits and len(rows) > DENSE * len(asked) * (part.stop - part.start):
+        whole = q.z[asked] @ c.z[part].T
+        scores = (whole[np.searchsorted(asked, rows), columns - part.start] * 4.0**BITS).astype(np.int64)
+    else:
+        pieces = [exact(q.z[rows[i : i + PAIRS]], c.z[columns[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)]
+        scores = np.concatenate(pieces) if pieces else np.array([], dtype=np.int64)
+    if fits:
+        reached = scores >= threshold[rows] * 4.0**BITS
+        rows, columns, scores = rows[reached], columns[reached], scores[reached]
+    return rows, columns, scores
+
+
 def _whole(x: float) -> int:
     return int(x) << BITS if abs(x) >= 2.0**52 else int(x * 2.0**BITS)
 
@@ -136,6 +157,14 @@ def _survivors(q: Rows, c: Rows, asked: np.ndarray, part: slice, threshold: np.n
         rows, columns = asked[rows], columns + part.start
         for k in range(1, len(marks)):
             keep = np.empty(len(rows), dtype=bool)
+            if len(rows) > DENSE * head.size:
+                span = slice(marks[k - 1], marks[k])
+                more = q.rotated[asked, span] @ c.rotated[part, span].T
+                sums += more[np.searchsorted(asked, rows), columns - part.start]
+                bound = sums + q.rest[k][rows] * c.rest[k][columns] + SLACK * q.length[rows] * c.length[columns]
+                keep = ~(bound < threshold[rows])
+                rows, columns, sums = rows[keep], columns[keep], sums[keep]
+                continue
             for at in range(0, len(rows), PAIRS):
                 i, j, here = rows[at : at + PAIRS], columns[at : at + PAIRS], slice(at, at + PAIRS)
                 span = slice(marks[k - 1], marks[k])
@@ -166,10 +195,7 @@ def best(q: Rows, c: Rows, threshold: np.ndarray, k: int) -> tuple[np.ndarray, n
             rows, columns = _survivors(q, c, asked[at : at + BATCH], part, threshold)
             other = q.place[rows] != c.place[columns]
             rows, columns = rows[other], columns[other]
-            pieces = [
-                exact(q.z[rows[i : i + PAIRS]], c.z[columns[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)
-            ]
-            new = (rows, columns, np.concatenate(pieces) if pieces else found[2][:0])
+            new = _scored(q, c, asked[at : at + BATCH], part, rows, columns, threshold)
             found = _first(tuple(map(np.concatenate, zip(found, new, strict=True))), c, k)
             last = np.flatnonzero(np.diff(found[0], append=-1))
             full = last[(last >= k - 1) & (found[0][np.maximum(last - k + 1, 0)] == found[0][last])]
