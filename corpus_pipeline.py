@@ -21,6 +21,8 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 #: Rows of an Arrow batch: whole texts are some kilobytes each, and a Python worker holds a few batches.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: pairs of long texts' shingle sets take some 100 KB a row.
+BATCH_BYTES = 4 << 20
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,6 +31,7 @@ def prepare(spark: SparkSession) -> None:
     """Workers find this checkout; small Arrow batches bound what they hold."""
     let_workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose five-word shingles are alike to 0.8 or more.
 
-    The groups are those of whole shingle sets (``resemblance``): fingerprints of operator 1 within its
-    radius would miss half of the near copies. Texts without words form one group, of which one stays;
+    Fingerprint groups of operator 1 give the first links, each verified on whole shingle sets; its radius
+    alone would miss half of the near copies, which ``resemblance`` finds among the texts left apart. Texts without words form one group, of which one stays;
     of equal ids one row stays, rows without id come last; other columns pass through by any name.
     """
     prepare(spark)

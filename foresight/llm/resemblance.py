@@ -1,12 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each one verified.
+"""Near-duplicates by SimHash fingerprints, each link verified on whole shingle sets, and MinHash for the rest.
 
-A text is the set of its shingles' hashes. Bands of minima bring texts together that may be alike;
-a pair at ``SIMILARITY`` shares none of the ``BANDS`` bands with a chance of 5e-6, and one above it
-with less. Whether two texts are alike is then decided on their whole sets.
+Operator 1 (``simhash``) groups texts by their fingerprints, and each text is held against the least row
+of its group. Its radius misses about half of the near copies, so texts left apart meet once more in
+bands of MinHash minima: a pair at ``SIMILARITY`` shares none of the ``BANDS`` bands with a chance of
+5e-6, and one above it with less. A text is the set of its shingles' hashes; whether two texts are alike is
+always decided on their whole sets.
 
-A row is first tried against the least rows of the buckets that it shares most with. Only rows that this
-leaves in different groups are tried against each other, so that a large group of near copies costs
-a few pairs a row and still no pair across groups is left out.
+In the bands a row is first tried against the least rows of the buckets that it shares most with. Only rows
+that this leaves in different groups are tried against each other, so that a large group of near copies
+costs a few pairs a row and still no pair across groups is left out.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foresight.llm.arrow import slices
 from foresight.llm.graph import components
 from foresight.llm.guarded import guarded
-from foresight.llm.simhash import keep_first, shingle_hashes
+from foresight.llm.simhash import keep_first, near_duplicates, shingle_hashes
 from foresight.llm.units import UNIT_ROWS, in_units, units
 from foresight.llm.workspace import Workspace
 
@@ -134,6 +136,25 @@ def _verified(
     return alike
 
 
+def _sizes_allow(one: str, other: str, similarity: float) -> Column:
+    """Sets of such sizes can have the similarity."""
+    return F.least(one, other) >= F.lit(similarity) * F.greatest(one, other)
+
+
+def _linked_by_fingerprint(
+    sizes: DataFrame, texts: DataFrame, shingle: int, similarity: float, unit_rows: int, space: Workspace
+) -> DataFrame:
+    """Verified links (a: least of its fingerprint group among the rows of ``sizes``, b: row), one a row at most."""
+    groups = near_duplicates(texts, "row", "text", unit_rows=unit_rows).select("row", "component_id")
+    placed = sizes.join(groups, "row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("row", "size")).alias("first"))
+    pairs = placed.join(first, "component_id").filter(
+        (F.col("row") > F.col("first.row")) & _sizes_allow("size", "first.size", similarity)
+    )
+    pairs = pairs.select(F.col("first.row").alias("a"), F.col("row").alias("b"))
+    return _verified(pairs, texts, shingle, similarity, space, "fingerprint")
+
+
 def deduplicate(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -166,23 +187,44 @@ def _first_rows(
     single = marked.groupBy("digest").agg(F.min("_row").alias("row"))
     single = space.put(single, "single")
     lone = marked.join(single.select(F.col("row").alias("_row")), "_row", "left_semi")
-    dealt = lone.select(F.col("_row").alias("row"), "size", F.explode("bands").alias("bucket"))
-    buckets = dealt.groupBy("bucket").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    shared = space.put(dealt.join(buckets.drop("n"), "bucket"), "shared")
     texts = picked.select(F.col("_row").alias("row"), "text")
+    links = _linked_by_fingerprint(
+        lone.select(F.col("_row").alias("row"), "size"), texts, shingle, similarity, unit_rows, space
+    )
+    dealt = lone.select(F.col("_row").alias("row"), "size", F.explode("bands").alias("bucket"))
+    several = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = space.put(
+        dealt.join(several, "bucket", "left_semi")
+        .join(links.select(F.col("a").alias("root"), F.col("b").alias("row")), "row", "left")
+        .select("bucket", "row", "size", F.coalesce("root", "row").alias("root")),
+        "shared",
+    )
     # A row is first held against the few least rows that it shares most buckets with: nearly always its
     # group's. All other pairs of a bucket are looked at below, unless they are linked by then.
-    met = shared.filter("row > least").groupBy("row", "least").agg(F.count("*").alias("times"))
+    buckets = (
+        shared.groupBy("bucket")
+        .agg(F.min(F.struct("row", "size", "root")).alias("least"), F.min("root").alias("p"), F.max("root").alias("q"))
+        .filter("p < q")
+        .select("bucket", *[F.col(f"least.{c}").alias(f"least_{c}") for c in ("row", "size", "root")])
+    )
+    buckets = space.put(buckets, "buckets")
+    met = (
+        shared.join(buckets, "bucket")
+        .filter((F.col("root") != F.col("least_root")) & _sizes_allow("size", "least_size", similarity))
+        .groupBy("row", F.col("least_row").alias("least"))
+        .agg(F.count("*").alias("times"))
+    )
     nearest = Window.partitionBy("row").orderBy(F.desc("times"), "least")
     tried = (
         met.withColumn("place", F.row_number().over(nearest))
         .filter(F.col("place") <= FIRST_TRIES)
         .select(F.col("least").alias("a"), F.col("row").alias("b"))
     )
-    edges = _verified(tried, texts, shingle, similarity, space, "first")
+    tried = space.put(tried, "tried")
+    edges = links.union(_verified(tried, texts, shingle, similarity, space, "first"))
     roots = space.put(components(edges, space, "first"), "first-roots")
     grouped = space.put(
-        shared.join(roots, shared["row"] == roots["node"], "left").select(
+        shared.drop("root").join(roots, shared["row"] == roots["node"], "left").select(
             "bucket", "row", "size", F.coalesce("root", "row").alias("root")
         ),
         "grouped",
@@ -201,5 +243,8 @@ def _first_rows(
         "digest", F.coalesce("root", "row").alias("root")
     )
     placed = space.put(marked.select("id", "_row", "digest").join(named, "digest").select("root", "id", "_row"), "placed")
-    space.drop("marked", "single", "shared", "grouped", "large-bucket", "first-alike", "second-alike", "first-roots", "roots")
+    space.drop(
+        "marked", "single", "shared", "buckets", "tried", "grouped", "large-bucket", "fingerprint-alike", "first-alike",
+        "second-alike", "first-roots", "roots",
+    )
     return keep_first(stored, placed, space)

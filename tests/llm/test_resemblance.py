@@ -64,3 +64,51 @@ def test_small_units_and_odd_rows(spark):
     want = kept_by_brute_force(texts) | {900}
     assert {r.doc_id for r in deduplicate(docs, unit_rows=4).collect()} == want
     assert deduplicate(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_groups_link_first(spark, monkeypatch):
+    """Operator 1 takes part: with bands that never meet, what its radius holds is linked all the same."""
+    from foresight.llm import resemblance
+    from foresight.llm.simhash import fingerprint
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(800)]
+    texts = [" ".join(words), *(changed(rng, words, 1) for _ in range(6)), "quite another text of a few words"]
+    marks = [fingerprint(t) for t in texts]
+    near = [i for i, m in enumerate(marks) if (m ^ marks[0]).bit_count() <= 4]
+    assert len(near) > 3 and len(texts) - 1 not in near
+    monkeypatch.setattr(resemblance, "_signed", _without_bands(resemblance._signed))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in deduplicate(docs).collect()}
+    assert kept == set(range(len(texts))) - (set(near) - {0})
+
+
+def _without_bands(signed):
+    def run(batches, shingle):
+        import pyarrow as pa
+
+        for batch in signed(batches, shingle):
+            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], empty], names=batch.schema.names)
+
+    return run
+
+
+def test_unalike_texts_of_one_fingerprint_group_stay(spark):
+    """Texts of one word each: a fingerprint group may hold them, their sets are not alike."""
+    words = [f"x{i}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert deduplicate(docs).count() == len(words)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    corpus_pipeline.prepare(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    wide = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) as x")
+    assert max(r.n for r in wide.mapInArrow(sizes, "n bigint").collect()) < 2 * corpus_pipeline.BATCH_BYTES
