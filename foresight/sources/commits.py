@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +21,8 @@ class CommittedTable:
     """Predictions under ``path``: ``data/<attempt>`` holds rows, ``manifest/`` says which attempts count.
 
     Phase one writes a run's rows under a fresh attempt, checked on the way; nobody reads them yet, and
-    a job that dies leaves only files that no entry names. Phase two adds one manifest entry by renaming
-    a small file to the next version number, which a file system does wholly or not at all and refuses
+    a job that dies leaves only files that no entry names. Phase two adds one manifest entry by giving
+    a small file the name of the next version, which a file system does wholly or not at all and refuses
     if another writer was faster. A run's latest entry is what readers see, so a reader never meets half
     a run, and one that has planned its scan keeps the attempt it saw. The manifest has a row per commit.
     """
@@ -56,6 +57,18 @@ class CommittedTable:
         rows = conform_columns(checked_predictions(predictions, run_id), contract.CUSTOMER_PREDICTIONS)
         return attempt, write_counted(rows, f"{self.data}/{attempt}")
 
+    def _claim(self, draft, final, files) -> bool:
+        """Give the draft its final name unless another writer holds that; local renames would replace it."""
+        if files.getUri().getScheme() != "file":
+            return not files.exists(final) and files.rename(draft, final)
+        source, target = (files.makeQualified(p).toUri().getPath() for p in (draft, final))
+        try:
+            os.link(source, target)
+        except FileExistsError:
+            return False
+        files.delete(draft, False)
+        return True
+
     def commit(self, run_id: str, attempt: str, total: int, token: str | None = None) -> int:
         """Phase two: the version under which the attempt counts from now on."""
         entry = {"run_id": run_id, "attempt": attempt, "token": token, "total_records": total}
@@ -67,7 +80,7 @@ class CommittedTable:
             stream.write(bytearray((json.dumps({"version": version, **entry}) + "\n").encode()))
             stream.close()
             final, _ = self._at(f"{self.manifest}/v{version:012d}.json")
-            if not files.exists(final) and files.rename(draft, final):
+            if self._claim(draft, final, files):
                 return version
             files.delete(draft, False)
         raise RuntimeError(f"no free manifest version for run {run_id} after {TRIES} tries")

@@ -69,6 +69,23 @@ def test_writers_alongside_take_different_versions(spark, tmp_path):
     assert {run: n for (run, _), n in held(table).items()} == {f"r{i}": 10 + i for i in range(6)}
 
 
+def test_a_version_that_is_taken_is_never_replaced(spark, tmp_path):
+    from multiprocessing.pool import ThreadPool
+
+    table = CommittedTable(spark, f"{tmp_path}/t")
+    for turn in range(4):  # all writers find the same next version
+        drafts = [table._at(f"{table.manifest}/.draft-{turn}-{i}") for i in range(12)]
+        for i, (draft, files) in enumerate(drafts):
+            stream = files.create(draft, False)
+            stream.write(bytearray(str(i).encode()))
+            stream.close()
+        final, files = table._at(f"{table.manifest}/v{turn}.json")
+        with ThreadPool(12) as pool:
+            won = pool.map(lambda d: table._claim(d[0], final, files), drafts)
+        assert sum(won) == 1
+        assert (tmp_path / f"t/manifest/v{turn}.json").read_text() == str(won.index(True))
+
+
 def test_vacuum_keeps_what_counts(spark, tmp_path):
     table = CommittedTable(spark, f"{tmp_path}/t")
     for probability in (0.1, 0.2, 0.3):
