@@ -6,9 +6,10 @@ bands of MinHash minima: a pair at ``SIMILARITY`` shares none of the ``BANDS`` b
 5e-6, and one above it with less. A text is the set of its shingles' hashes; whether two texts are alike is
 always decided on their whole sets.
 
-In the bands a row is first tried against the least rows of the buckets that it shares most with. Only rows
-that this leaves in different groups are tried against each other, so that a large group of near copies
-costs a few pairs a row and still no pair across groups is left out.
+In the bands a row is first tried against the least rows of the buckets that it shares most with. Rows of
+a bucket that this leaves in different groups meet with their sets in units of bounded size, where every pair
+across groups is looked at and only the links that join groups come out: fewer than rows, so that no table of
+pairs grows with the square of a large group, whether its texts are alike or just below.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foresight.llm.arrow import slices
-from foresight.llm.graph import components
+from foresight.llm.graph import Forest, components
 from foresight.llm.guarded import guarded
 from foresight.llm.simhash import keep_first, near_duplicates, shingle_hashes
-from foresight.llm.units import UNIT_ROWS, in_units, units
+from foresight.llm.units import UNIT_ROWS, dealt, together, units
 from foresight.llm.workspace import Workspace
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Buckets a text goes to, and minima that a bucket's rows agree on.
 BANDS, MINIMA = 40, 6
+#: Shingle hashes of a unit of rows with their sets: 32 MB.
+UNIT_HASHES = 1 << 22
 #: Least rows that a row is tried against before the pairs across groups.
 FIRST_TRIES = 3
 _BLOCK = 1 << 12
@@ -75,30 +78,60 @@ def _signed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         )
 
 
+def _spanning(rows: np.ndarray, roots: np.ndarray, side: np.ndarray, within: bool, sets: list, similarity: float) -> list:
+    """Alike pairs of a unit's rows that connect what its alike pairs connect: one less than its groups at most."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), np.int64)
+    forest = Forest(len(rows))
+    _, first, group = np.unique(roots, return_index=True, return_inverse=True)
+    forest.parent = first[group]
+    found = []
+    for k in range(len(rows)):
+        apart = forest.parent != forest.parent[k]
+        apart &= np.minimum(sizes, sizes[k]) >= similarity * np.maximum(sizes, sizes[k])
+        if within:
+            apart[: k + 1] = False
+        elif side[k] == 0:
+            apart &= side == 1
+        else:
+            continue
+        others = np.flatnonzero(apart)
+        if not len(others):
+            continue
+        own = ids[starts[k] : starts[k] + sizes[k]]
+        mark[own] = 1
+        ends = np.cumsum(sizes[others])
+        begins = ends - sizes[others]
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - begins, sizes[others])
+        common = np.add.reduceat(mark[ids[at]], begins)
+        mark[own] = 0
+        others = others[common >= similarity * (sizes[others] + sizes[k] - common)]
+        if len(others):
+            one = others[np.unique(forest.parent[others], return_index=True)[1]]
+            found += [(min(rows[k], rows[i]), max(rows[k], rows[i])) for i in one.tolist()]
+            forest.link(np.full(len(one), k), one)
+    return found
+
+
 def _across(similarity: float):
-    """Pairs of a unit's rows in different groups whose sizes allow the similarity."""
+    """Links between a unit's groups, each verified on whole sets: fewer than the unit has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, bounds in units(batches, "bucket"):
+        for data, bounds in units(batches, "least"):
             for start, end in bounds.tolist():
-                rows, roots = data["row"][start:end], data["root"][start:end]
-                sizes, side = data["size"][start:end], data["side"][start:end]
-                within = data["lo"][start] == data["hi"][start]
-                for k in range(len(rows)):
-                    apart = roots != roots[k]
-                    apart &= np.minimum(sizes, sizes[k]) >= similarity * np.maximum(sizes, sizes[k])
-                    if within:
-                        apart[: k + 1] = False
-                    elif side[k] == 0:
-                        apart &= side == 1
-                    else:
-                        continue
-                    other = rows[apart]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(other, rows[k])), pa.array(np.maximum(other, rows[k]))],
-                            names=["a", "b"],
-                        )
+                found = _spanning(
+                    data["row"][start:end],
+                    data["root"][start:end],
+                    data["side"][start:end],
+                    data["lo"][start] == data["hi"][start],
+                    [np.frombuffer(s, np.uint64) for s in data["set"][start:end]],
+                    similarity,
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pair[i] for pair in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
+                )
 
     return run
 
@@ -116,12 +149,8 @@ def _alike(similarity: float):
     return run
 
 
-def _verified(
-    pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, space: Workspace, name: str
-) -> DataFrame:
-    """The pairs (a, b: rows) whose whole shingle sets are alike."""
-    pairs = space.put(pairs, f"{name}-pairs")
-    rows = space.put(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"{name}-rows")
+def _sets(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, set) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -129,7 +158,16 @@ def _verified(
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
 
     wanted = texts.join(rows, "row", "left_semi").select("row", "text")
-    sets = space.put(wanted.mapInArrow(run, "row bigint, set binary"), f"{name}-sets")
+    return wanted.mapInArrow(run, "row bigint, set binary")
+
+
+def _verified(
+    pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, space: Workspace, name: str
+) -> DataFrame:
+    """The pairs (a, b: rows) whose whole shingle sets are alike."""
+    pairs = space.put(pairs, f"{name}-pairs")
+    rows = space.put(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"{name}-rows")
+    sets = space.put(_sets(rows, texts, shingle), f"{name}-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     alike = space.put(both.mapInArrow(_alike(similarity), "a bigint, b bigint"), f"{name}-alike")
     space.drop(f"{name}-pairs", f"{name}-rows", f"{name}-sets")
@@ -191,10 +229,10 @@ def _first_rows(
     links = _linked_by_fingerprint(
         lone.select(F.col("_row").alias("row"), "size"), texts, shingle, similarity, unit_rows, space
     )
-    dealt = lone.select(F.col("_row").alias("row"), "size", F.explode("bands").alias("bucket"))
-    several = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    marks = lone.select(F.col("_row").alias("row"), "size", F.explode("bands").alias("bucket"))
+    several = marks.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     shared = space.put(
-        dealt.join(several, "bucket", "left_semi")
+        marks.join(several, "bucket", "left_semi")
         .join(links.select(F.col("a").alias("root"), F.col("b").alias("row")), "row", "left")
         .select("bucket", "row", "size", F.coalesce("root", "row").alias("root")),
         "shared",
@@ -229,22 +267,25 @@ def _first_rows(
         ),
         "grouped",
     )
+    # Buckets of one least row are one group of candidates, so that a row's set travels once and not by bucket.
     several = (
-        grouped.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("bucket")
-    )
-    mixed = in_units(grouped.join(several, "bucket", "left_semi"), "bucket", "row", space, unit_rows)
-    rest = mixed.select("bucket", "row", "size", "root", "lo", "hi", "side").mapInArrow(
-        _across(similarity), "a bigint, b bigint"
+        grouped.groupBy("bucket")
+        .agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("row").alias("least"))
+        .filter("p < q")
+        .select("bucket", "least")
     )
-    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, texts, shingle, similarity, space, "second")
+    mixed = space.put(grouped.join(several, "bucket").select("least", "row", "size", "root").distinct(), "mixed")
+    sets = space.put(_sets(mixed.select("row").distinct(), texts, shingle), "mixed-sets")
+    rest = dealt(mixed, "least", "row", space, unit_rows, "size", UNIT_HASHES).join(sets, "row")
+    rest = together(rest, "least", "row").select("least", "row", "root", "lo", "hi", "side", "set")
+    more = space.put(rest.mapInArrow(_across(similarity), "a bigint, b bigint"), "second-alike")
     roots = space.put(components(edges.union(more), space, "second"), "roots")
     named = single.join(roots, single["row"] == roots["node"], "left").select(
         "digest", F.coalesce("root", "row").alias("root")
     )
     placed = space.put(marked.select("id", "_row", "digest").join(named, "digest").select("root", "id", "_row"), "placed")
     space.drop(
-        "marked", "single", "shared", "buckets", "tried", "grouped", "large-bucket", "fingerprint-alike", "first-alike",
-        "second-alike", "first-roots", "roots",
+        "marked", "single", "shared", "buckets", "tried", "grouped", "mixed", "mixed-sets", "large-least",
+        "fingerprint-alike", "first-alike", "second-alike", "first-roots", "roots",
     )
     return keep_first(stored, placed, space)

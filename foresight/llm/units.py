@@ -15,22 +15,30 @@ from foresight.llm.workspace import Workspace
 UNIT_ROWS = 4096
 
 
-def in_units(
-    rows: DataFrame, key: str, spread: str, space: Workspace, unit_rows: int = UNIT_ROWS
+def dealt(
+    rows: DataFrame,
+    key: str,
+    spread: str,
+    space: Workspace,
+    unit_rows: int = UNIT_ROWS,
+    weight: str | None = None,
+    unit_weight: int = 0,
 ) -> DataFrame:
     """Deal rows of a key into units that a task can hold, losing no pair of rows of that key.
 
-    A key with more than ``unit_rows`` rows is cut into blocks by the hash of ``spread``, and every
-    pair of blocks becomes a unit, as does every block by itself. Columns ``lo`` and ``hi`` name the
-    unit's blocks and ``side`` the row's own one (0: lo). Pairs within a block belong to its own unit
-    (lo = hi), pairs across blocks to theirs. Rows come out sorted, units one after the other.
+    A key with more than ``unit_rows`` rows, or whose ``weight`` sums to more than ``unit_weight``, is
+    cut into blocks by the hash of ``spread``, and every pair of blocks becomes a unit, as does every
+    block by itself. Columns ``lo`` and ``hi`` name the unit's blocks and ``side`` the row's own one
+    (0: lo). Pairs within a block belong to its own unit (lo = hi), pairs across blocks to theirs.
     """
-    half = unit_rows // 2
+    size, blocks = F.col("n") > unit_rows, F.ceil(F.col("n") / (unit_rows // 2))
+    sums = [F.count("*").alias("n")]
+    if weight is not None:
+        sums.append(F.sum(weight).alias("w"))
+        size |= F.col("w") > unit_weight
+        blocks = F.greatest(blocks, F.least("n", F.ceil(F.col("w") / (unit_weight // 2))))
     large = space.put(
-        rows.groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > unit_rows)
-        .select(F.col(key).alias("_key"), F.ceil(F.col("n") / half).cast("int").alias("_blocks")),
+        rows.groupBy(key).agg(*sums).filter(size).select(F.col(key).alias("_key"), blocks.cast("int").alias("_blocks")),
         f"large-{key}",
     )  # few or no keys: its known size lets Spark broadcast it, or else join by shuffles
     split = rows.join(large, rows[key] == large["_key"], "left").drop("_key")
@@ -45,11 +53,21 @@ def in_units(
         .withColumn("hi", F.greatest("_own", "_other"))
         .withColumn("side", (F.col("_own") != F.col("lo")).cast("int"))
         .drop("_own", "_other", "_blocks")
-        .repartition(key, "lo", "hi")
-        .sortWithinPartitions(key, "lo", "hi", "side", spread)
     )
 
 
+def together(rows: DataFrame, key: str, spread: str) -> DataFrame:
+    """Dealt rows sorted, units one after the other."""
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "side", spread)
+
+
+def in_units(
+    rows: DataFrame, key: str, spread: str, space: Workspace, unit_rows: int = UNIT_ROWS
+) -> DataFrame:
+    """``dealt`` and ``together``."""
+    return together(dealt(rows, key, spread, space, unit_rows), key, spread)
+
+
 def _column(array: pa.Array) -> np.ndarray:
     if pa.types.is_list(array.type):
         flat = array.flatten().to_numpy(zero_copy_only=False)

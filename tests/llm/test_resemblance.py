@@ -83,6 +83,31 @@ def test_fingerprint_groups_link_first(spark, monkeypatch):
     assert kept == set(range(len(texts))) - (set(near) - {0})
 
 
+def test_a_group_just_below_the_similarity_writes_no_pairs(spark, monkeypatch):
+    """All rows share buckets and hardly any are alike: tables grow with the rows, not with their square."""
+    from foresight.llm import resemblance
+    from foresight.llm.workspace import Workspace
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [changed(rng, words, 4) for _ in range(150)]
+    written, put = {}, Workspace.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        written[name] = out.count()
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = kept_by_brute_force(texts)
+    assert len(want) > 100
+    monkeypatch.setattr(Workspace, "put", counted)
+    assert {r.doc_id for r in deduplicate(docs).collect()} == want
+    assert max(written.values()) <= resemblance.BANDS * len(texts)  # 11,175 pairs before
+    monkeypatch.setattr(resemblance, "UNIT_HASHES", 4000)  # some twenty texts a unit
+    assert {r.doc_id for r in deduplicate(docs, unit_rows=64).collect()} == want
+
+
 def _without_bands(signed):
     def run(batches, shingle):
         import pyarrow as pa
